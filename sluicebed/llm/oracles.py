@@ -27,6 +27,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"{_P4} SELECT f AS field_name, x AS id_a, y AS id_b FROM r",
         "p5_found": f"{_P5} SELECT x AS test_id, y AS train_id, f AS field_name FROM r",
+        "p8_found": """WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM d WHERE len(w) >= 12),
+i AS (SELECT id AS item_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM (SELECT id, unnest([problem, correct_solution, candidate_message]) AS t FROM gives_away_probe) WHERE t IS NOT NULL),
+ig AS (SELECT item_id, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p9_found": r"SELECT DISTINCT doc_id FROM documents, (SELECT min(max_tokens) AS m FROM token_limits WHERE purpose = 'piece') WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s]')) > m",
         "p5_report": f"""{_P5},
 p AS (SELECT 'test' AS split, id, min(slice) AS source FROM v1_test GROUP BY id UNION ALL SELECT 'train', id, min(slice) FROM v1_b GROUP BY id),
 tot AS (SELECT split, source, count(*) AS n_records FROM p GROUP BY ALL),

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .cross_split import cross_split_pairs, overlap_report
+from .defects import FIELDS as P6_FIELDS
+from .defects import defect_report, find_defects
+from .leakage import leaked_items, leaked_spans
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs, stacked_texts
+from .packing import pack, packing_report, token_sizes
+from .pieces import split_oversized
+from .related_splits import assign_splits, related_groups, split_report
 
 P4_FIELDS = ["v1_b.candidate_message", "human_boundary.leaky_candidate", "human_boundary.safe_rewrite"]
 P5_FIELDS = ["candidate_message", "problem"]
@@ -42,8 +48,72 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(p5_found(spark, d), splits)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return related_groups(table(spark, d, "v1_b"), "id", "problem").where("n_problems > 1").select("id", "group_id")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return assign_splits(table(spark, d, "v1_b"), "id", "problem")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_report(p3_splits(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_defects(table(spark, d, "v1_b"), "id", P6_FIELDS, "problem", "conversation_history", "candidate_message", "verdict")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return defect_report(p6_found(spark, d))
+
+
+def _limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
+    row = table(spark, d, "token_limits").where(F.col("purpose") == purpose).agg(F.min("max_tokens").alias("m"), F.min("overlap_tokens").alias("o")).first()
+    return row.m, row.o or 0
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    packed = pack(token_sizes(table(spark, d, "documents"), "doc_id", "text"), _limits(spark, d, "container")[0])
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p7_containers(spark, d).withColumnRenamed("doc_id", "id"), _limits(spark, d, "container")[0])
+
+
+def _p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "gives_away_probe"), "id", ["problem", "correct_solution", "candidate_message"])
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_spans(spark, d)
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_p8_spans(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    limit, overlap = _limits(spark, d, "piece")
+    return split_oversized(table(spark, d, "documents"), "doc_id", "text", limit, overlap, with_text=False).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    limit, overlap = _limits(spark, d, "piece")
+    return split_oversized(table(spark, d, "documents"), "doc_id", "text", limit, overlap).withColumnRenamed("id", "doc_id")
+
+
+_NAMES = """p3_found p3_splits p3_report p4_found p4_groups p5_found p5_report
+p6_found p6_report p7_containers p7_report p8_found p8_spans p8_items p9_found p9_pieces""".split()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report}
+    return {name: globals()[name] for name in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
