@@ -23,8 +23,33 @@ _P4 = _alike([("", "v1_b.candidate_message", "v1_b", "candidate_message"), ("",
 _P5 = _alike([(side, f, tab, f) for side, tab in (("test", "v1_test"), ("train", "v1_b")) for f in ("candidate_message", "problem")], "a.side = 'test' AND b.side = 'train'")
 
 
+_LABELS = ["adequate", "gives_final_answer", "gives_away_key_step", "mismatched_calibration", "vague_unhelpful"]
+
+
+def _named(text: str) -> str:
+    flat = f"('_' || regexp_replace(lower({text}), '[^a-z0-9]+', '_', 'g') || '_')"
+    hits = [f"contains({flat}, '_{name}_')" for name in _LABELS]
+    chosen = " ".join(f"WHEN {h} THEN '{name}'" for h, name in zip(hits, _LABELS))
+    return f"CASE WHEN {' + '.join(f'{h}::INT' for h in hits)} = 1 THEN CASE {chosen} END END"
+
+
+_P1 = f"""WITH e AS (SELECT DISTINCT id, unnest(map_entries(votes)) AS e FROM train_flagged),
+v AS (SELECT id, e.key AS annotator, {_named("e.value")} AS label FROM e),
+c AS (SELECT id, label, count(*) AS n FROM v WHERE label IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, max(n) OVER (PARTITION BY id) AS top FROM c),
+w AS (SELECT id, min(label) AS label, min(top) AS top FROM r WHERE n = top GROUP BY id HAVING count(*) = 1),
+m AS (SELECT id, min({_named("majority")}) AS said FROM train_flagged GROUP BY id)
+SELECT id, label FROM w JOIN m USING (id) WHERE top >= 2 AND said IS DISTINCT FROM label"""
+_P2 = f"""WITH r AS (SELECT DISTINCT id, slice, {_named("gold_verdict")} AS gold_verdict FROM v1_test),
+n AS (SELECT ceil(count(DISTINCT id) / 5) AS n FROM v1_test),
+a AS (SELECT slice, gold_verdict, count(DISTINCT id) AS available FROM r GROUP BY ALL),
+p AS (SELECT t.slice, t.gold_verdict, target_share, min_rows, greatest(min_rows, ceil(round(target_share * n, 9)))::BIGINT AS wanted, coalesce(available, 0) AS available FROM sample_targets t CROSS JOIN n LEFT JOIN a USING (slice, gold_verdict))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
+        "p2_found": f"{_P2} SELECT slice, gold_verdict FROM p WHERE available < wanted",
         "p4_found": f"{_P4} SELECT f AS field_name, x AS id_a, y AS id_b FROM r",
         "p5_found": f"{_P5} SELECT x AS test_id, y AS train_id, f AS field_name FROM r",
         "p8_found": """WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .calibrated_sample import draw, plan_table, sampling_plan
+from .consensus import consensus, contradicted_majorities
 from .cross_split import cross_split_pairs, overlap_report
 from .defects import FIELDS as P6_FIELDS
 from .defects import defect_report, find_defects
@@ -16,11 +18,46 @@ from .near_duplicates import near_duplicate_groups, near_duplicate_pairs, stacke
 from .packing import pack, packing_report, token_sizes
 from .pieces import split_oversized
 from .related_splits import assign_splits, related_groups, split_report
+from .verdicts import named_label
 
 P4_FIELDS = ["v1_b.candidate_message", "human_boundary.leaky_candidate", "human_boundary.safe_rewrite"]
 P5_FIELDS = ["candidate_message", "problem"]
 
 
+P2_NAMES = ["slice", "gold_verdict"]
+P2_SHARE = 0.2
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "train_flagged")
+    items, _ = consensus(df, "id", "votes")
+    return contradicted_majorities(df, "id", "majority", items)
+
+
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    return consensus(table(spark, d, "train_flagged"), "id", "votes")[0]
+
+
+def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus(table(spark, d, "train_flagged"), "id", "votes")[1]
+
+
+def _p2_plan(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    return sampling_plan(table(spark, d, "v1_test"), "id", [F.col("slice"), named_label(F.col("gold_verdict"))], table(spark, d, "sample_targets"), P2_SHARE)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return plan_table(*_p2_plan(spark, d), P2_NAMES).where("gap > 0").select(*P2_NAMES)
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return plan_table(*_p2_plan(spark, d), P2_NAMES)
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return draw(*_p2_plan(spark, d), P2_NAMES)
+
+
 def _p4_texts(spark: SparkSession, d: str) -> DataFrame:
     b, h = table(spark, d, "v1_b"), table(spark, d, "human_boundary")
     return stacked_texts([(0, 0, b, "id", "candidate_message"), (0, 1, h, "id", "leaky_candidate"), (0, 2, h, "id", "safe_rewrite")])
@@ -108,7 +145,8 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-_NAMES = """p3_found p3_splits p3_report p4_found p4_groups p5_found p5_report
+_NAMES = """p1_found p1_items p1_annotators p2_found p2_report p2_sample
+p3_found p3_splits p3_report p4_found p4_groups p5_found p5_report
 p6_found p6_report p7_containers p7_report p8_found p8_spans p8_items p9_found p9_pieces""".split()
 
 
