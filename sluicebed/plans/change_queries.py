@@ -1 +1,121 @@
-"""Queries of this family."""
+"""Edits, rulings, overlays and bounded loops."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import verdicts as V
+from ..operators import changes as C, joins, loops
+from ..operators.sampling import ranked
+from ..session import table
+from .catalog import VERDICT_LIST, WITH_PREDS, gold, predictions, query
+from .text_queries import _leak_sql
+from .vote_queries import _WIDE, wide
+
+c = F.col
+
+
+@query(f"{WITH_PREDS}, {_WIDE} SELECT id, gold AS old, m1 AS new, CASE WHEN m3 = 'adequate' THEN 'USER' WHEN m2 IS NOT DISTINCT FROM m1 THEN 'CONFIRMED' WHEN m2 IS NOT NULL AND m2 IS DISTINCT FROM gold THEN 'SUPPORTED' ELSE 'TENTATIVE' END AS tier FROM w WHERE m1 IS NOT NULL AND m1 <> gold")
+def edit_tiers(spark, d):
+    w = wide(spark, d).where("m1 is not null and m1 <> gold")
+    source = F.when(c("m3") == "adequate", "reviewer").otherwise("judge")
+    return w.select("id", c("gold").alias("old"), c("m1").alias("new"), C.edit_tier(source, c("gold"), c("m1"), c("m2")).alias("tier"))
+
+
+_RULE = f"ru AS (SELECT id, gold AS current, model AS bucket, pred AS ruling, h % 13 = 0 AS dropped FROM preds WHERE model IN ('m1', 'm2'))"
+_CLASS = f"CASE WHEN dropped THEN 'drop' WHEN list_contains({VERDICT_LIST}, ruling) AND ruling IS DISTINCT FROM current THEN 'change' WHEN ruling IS NOT NULL AND ruling <> '' THEN 'keep' ELSE 'unruled' END"
+
+
+def rulings(spark, d):
+    p = predictions(spark, d).where(c("model").isin("m1", "m2"))
+    return p.select("id", c("gold").alias("current"), c("model").alias("bucket"), c("pred").alias("ruling"), (c("h") % 13 == 0).alias("dropped"))
+
+
+@query(f"{WITH_PREDS}, {_RULE} SELECT bucket, {_CLASS} AS class, count(*) AS n FROM ru GROUP BY ALL")
+def ruling_classes(spark, d):
+    return rulings(spark, d).groupBy("bucket", C.ruling_class(c("dropped"), c("ruling"), c("current")).alias("class")).agg(F.count("*").alias("n"))
+
+
+_CHG = f"ch AS (SELECT id, CASE WHEN {_CLASS} = 'change' THEN ruling END AS new_label, dropped FROM ru WHERE bucket = 'm1' AND {_CLASS} IN ('drop', 'change'))"
+
+
+def change_table(spark, d):
+    r = rulings(spark, d).where("bucket = 'm1'").withColumn("class", C.ruling_class(c("dropped"), c("ruling"), c("current")))
+    return r.where(c("class").isin("drop", "change")).select("id", F.when(c("class") == "change", c("ruling")).alias("new_label"), c("dropped").alias("drop"))
+
+
+@query(f"{WITH_PREDS}, {_RULE}, {_CHG} SELECT g.id, coalesce(new_label, gold) AS gold, new_label IS NOT NULL AND new_label IS DISTINCT FROM gold AS stale FROM gold g LEFT JOIN ch USING (id) WHERE NOT coalesce(dropped, false)")
+def applied_changes(spark, d):
+    return joins.overlay(gold(spark, d).select("id", "gold"), change_table(spark, d), "id", "gold")
+
+
+@query(f"{WITH_PREDS}, {_RULE}, {_CHG} SELECT g.id, gold AS old, CASE WHEN NOT dropped THEN new_label END AS new, CASE WHEN dropped THEN 'drop' ELSE 'relabel' END AS kind FROM gold g JOIN ch USING (id) WHERE dropped OR new_label IS DISTINCT FROM gold")
+def change_log(spark, d):
+    return C.change_log(gold(spark, d).select("id", "gold"), change_table(spark, d), "id", "gold")
+
+
+@query(f"{WITH_PREDS}, {_RULE}, {_CHG} SELECT h.id FROM (SELECT DISTINCT id FROM human_boundary) h WHERE h.id NOT IN (SELECT id FROM ch)")
+def unmatched_change_ids(spark, d):
+    return table(spark, d, "human_boundary").select("id").distinct().join(change_table(spark, d), "id", "left_anti")
+
+
+_FLIP = f"""b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id) AS rn FROM v1_b) WHERE rn = 1),
+f AS (SELECT id, min(current_label) AS label FROM train_flagged GROUP BY id), g AS (SELECT * FROM (SELECT id, safe_rewrite AS rw, row_number() OVER (PARTITION BY id ORDER BY ts DESC, decision) AS rn FROM human_boundary) WHERE rn = 1),
+j AS (SELECT b.*, f.label, g.rw FROM b LEFT JOIN f USING (id) LEFT JOIN g USING (id))"""
+_OUT = f"CASE WHEN label IS NULL THEN 'kept' WHEN label = 'adequate' THEN 'to_adequate' WHEN trim(coalesce(rw, '')) = '' THEN 'dropped: no rewrite' WHEN {_leak_sql('rw')} THEN 'dropped: rewrite leaks' ELSE 'regenerated' END"
+
+
+@query(f"WITH {_FLIP} SELECT id, {_OUT} AS outcome, coalesce(label, verdict) AS verdict, CASE {_OUT} WHEN 'kept' THEN rewritten_message WHEN 'regenerated' THEN rw END AS rewrite FROM j")
+def relabel_outcomes(spark, d):
+    b = table(spark, d, "v1_b").dropDuplicates(["id"])
+    flips = table(spark, d, "train_flagged").groupBy("id").agg(F.min("current_label").alias("label"))
+    regen = ranked(table(spark, d, "human_boundary").select("id", "safe_rewrite", "ts", "decision"), ["id"], [c("ts").desc(), c("decision")]).where("rn = 1").select("id", c("safe_rewrite").alias("rewrite"))
+    context = V.context_text(c("problem"), c("conversation_history"))
+    return C.assemble(b, flips, regen, "id", lambda rw: V.leaks_in_context(rw, c("final_answer"), c("key_step"), context))
+
+
+@query(f"WITH {_FLIP} SELECT {_OUT} AS outcome, count(*) AS n FROM j GROUP BY ALL")
+def relabel_outcome_counts(spark, d):
+    return relabel_outcomes(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_REF = f"""SELECT id, CASE WHEN m1 = 'adequate' OR NOT coalesce(list_contains({VERDICT_LIST}, m1), false) THEN 'passed_original' WHEN m2 = 'adequate' THEN 'judge_passed' WHEN m3 = 'adequate' THEN 'judge_passed' WHEN m4 = 'adequate' THEN 'judge_passed' ELSE 'maxiter_fallback' END AS how,
+CASE WHEN m1 = 'adequate' OR NOT coalesce(list_contains({VERDICT_LIST}, m1), false) THEN 0 WHEN m2 = 'adequate' THEN 1 WHEN m3 = 'adequate' THEN 2 ELSE 3 END AS iters FROM w"""
+
+
+def _refined(spark, d):
+    w = wide(spark, d)
+    return w.withColumn("x", loops.refine(c("m1"), [F.lit(f"rewrite {i}") for i in (1, 2, 3)], [c("m2"), c("m3"), c("m4")], F.lit("original"), "What could you try first?", V.VERDICTS))
+
+
+@query(f"{WITH_PREDS}, {_WIDE} {_REF}")
+def refinement_loop(spark, d):
+    return _refined(spark, d).select("id", "x.how", "x.iters")
+
+
+@query(f"{WITH_PREDS}, {_WIDE}, r AS ({_REF}) SELECT how, count(*) AS n, sum(iters) / count(*) AS mean_iters FROM r GROUP BY how")
+def refinement_outcomes(spark, d):
+    return refinement_loop(spark, d).groupBy("how").agg(F.count("*").alias("n"), (F.sum("iters") / F.count("*")).alias("mean_iters"))
+
+
+@query(f"WITH h AS (SELECT DISTINCT id, problem, conversation_history, final_answer, key_step, safe_rewrite FROM human_boundary) SELECT id, CASE WHEN {_leak_sql('safe_rewrite')} THEN 'What could you try first?' ELSE safe_rewrite END AS shown FROM h")
+def guarded_hints(spark, d):
+    context = V.context_text(c("problem"), c("conversation_history"))
+    h = table(spark, d, "human_boundary").select("id", "problem", "conversation_history", "final_answer", "key_step", "safe_rewrite").distinct()
+    return h.select("id", loops.guarded(c("safe_rewrite"), V.leaks_in_context(c("safe_rewrite"), c("final_answer"), c("key_step"), context), "What could you try first?").alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE length(text) % 3 END AS tier FROM documents")
+def scored_tiers(spark, d):
+    """The scorer protocol with a stand-in scorer; grades outside 0..2 become null."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = loops.score(docs, lambda pdf: pdf["text"].map(lambda t: None if t is None else len(t) % 3), "double", "raw")
+    return scored.select("doc_id", loops.tier_or_null(c("raw")).cast("bigint").alias("tier"))
+
+
+@query(f"WITH t AS (SELECT c_custkey AS n FROM customer) SELECT n, greatest(405, 3 * ceil(n / 4)::INT) AS steps, least(700, greatest(120, n // 2)) AS bounded FROM t")
+def iteration_formulas(spark, d):
+    n = table(spark, d, "customer").select(c("c_custkey").alias("n"))
+    return n.select("n", V.iteration_count(c("n"), 4, 3, 405).alias("steps"), V.bounded_half(c("n"), 120, 700).alias("bounded"))
+
+

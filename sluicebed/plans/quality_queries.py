@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T, verdicts as V
+from ..functions import text as T
 from ..operators import dedup, quality as Q
 from ..session import table
 from .catalog import query, sql_hash, sql_literal, sql_norm, sql_strip
-from .text_queries import _REC, _records, features
+from .text_queries import _REC, _records
 
 _BLANK = lambda c: f"{sql_strip(f'coalesce({c}, {chr(39) * 2})')} = ''"
 _HIST = "conversation_history IS NOT NULL AND len(list_filter(conversation_history, lambda t: t IS NULL)) = 0"
@@ -148,5 +148,3 @@ def curated_class_counts(spark, d):
     one = dedup.one_per_key(clean, [F.col("t")], [F.col("doc_id")]).drop("t")
     return downsample(one, "kind", "doc_id", "0").groupBy("kind").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
-
-__all__ = ["features", "V"]

@@ -1 +1 @@
-
+"""The append-only feedback log as a stream."""
