@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
@@ -49,19 +49,19 @@ def newton_tilt(counts: np.ndarray, targets: np.ndarray, base: float, features:
     return base * np.exp(a @ lam)
 
 
-def sampling_plan(df: DataFrame, id_column: str, category_columns: list, targets: DataFrame, share: float) -> tuple[DataFrame, list[dict]]:
+def sampling_plan(df: DataFrame, id_column: str, categories: dict[str, Column], targets: DataFrame, share: float) -> tuple[DataFrame, list[dict]]:
     """(records, plan): the distinct ids with their categories, and one entry per target category.
 
-    ``category_columns`` are columns (or expressions) of ``df`` that match, in order, the columns of
-    ``targets`` before ``target_share`` and ``min_rows``. The sample has ``ceil(share * ids)`` records;
-    a category wants the larger of its minimum and its share of that, rounded up. An entry has
-    ``wanted``, ``available``, ``taken`` (the smaller of the two), ``probability`` and ``gap``. Records
-    with a null in a category column belong to no category; null ids are left out; an id that occurs
-    with several categories counts in the smallest. Repeated target rows count once, null shares and
-    minimums as 0.
+    ``categories`` gives, for each category column of ``targets``, the expression over ``df`` that
+    matches it; ``targets`` also has ``target_share`` and ``min_rows``, further columns are ignored. The
+    sample has ``ceil(share * ids)`` records; a category wants the larger of its minimum and its share
+    of that, rounded up. An entry has ``wanted``, ``available``, ``taken`` (the smaller of the two),
+    ``probability`` and ``gap``. Records with a null in a category column belong to no category; null
+    ids are left out; an id that occurs with several categories counts in the smallest. Repeated target
+    rows count once, null shares and minimums as 0. Empty tables give an empty plan or empty categories.
     """
-    names = [c for c in targets.columns if c not in ("target_share", "min_rows")]
-    keyed = df.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.struct(*(c.alias(n) for c, n in zip(category_columns, names))).alias("k")).where("id is not null")
+    names = list(categories)
+    keyed = df.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.struct(*(c.alias(n) for n, c in categories.items())).alias("k")).where("id is not null")
     records = settle(keyed.groupBy("id").agg(F.min("k").alias("k")).select("id", "k.*"), "records")
     goal = targets.groupBy(*names).agg(F.max("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"))
     counts = records.groupBy(*names).agg(F.count("*").alias("available"))
@@ -113,25 +113,25 @@ def draw(records: DataFrame, plan: list[dict], names: list[str], seed: str = "",
     """The sampled records (id and category columns): exactly ``taken`` of every category."""
     spark = records.sparkSession
     rows = [(*(p[n] for n in names), p["probability"], max(1, -(-p["available"] // block))) for p in plan if p["taken"]]
-    schema = records.select(*names).schema.add("pi", "double").add("blocks", "integer")
+    schema = records.select(*names).schema.add("_pi", "double").add("_blocks", "integer")
     chances = spark.createDataFrame(rows, schema)
     unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    work = records.join(F.broadcast(chances), names).withColumn("u", unit).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + "#")), F.col("blocks")).cast("int"))
+    work = records.join(F.broadcast(chances), names).withColumn("_u", unit).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(seed + "#")), F.col("_blocks")).cast("int"))
     schema = work.schema
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "id"], kind="stable")
-        return pdf.assign(pi=pivotal(pdf["pi"].to_numpy(), pdf["u"].to_numpy() * 7919 % 1.0))
+        pdf = pdf.sort_values(["_u", "id"], kind="stable")
+        return pdf.assign(_pi=pivotal(pdf["_pi"].to_numpy(), pdf["_u"].to_numpy() * 7919 % 1.0))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "id"], kind="stable")
-        out = pivotal(pdf["pi"].to_numpy(), pdf["u"].to_numpy() * 104729 % 1.0)
-        return pdf.assign(pi=np.round(out))  # the wanted number is whole, so what is left is rounding noise
-
-    whole = work.where("pi >= 1")
-    first = settle(work.where("pi < 1").groupBy(*names, "block").applyInPandas(decide, schema), "duels")
-    left = first.where("pi > 0 and pi < 1").groupBy(*names).applyInPandas(finish, schema)  # one row per block at most
-    return whole.unionByName(first.where("pi >= 1")).unionByName(left.where("pi >= 1")).select("id", *names)
+        pdf = pdf.sort_values(["_u", "id"], kind="stable")
+        out = pivotal(pdf["_pi"].to_numpy(), pdf["_u"].to_numpy() * 104729 % 1.0)
+        return pdf.assign(_pi=np.round(out))  # the wanted number is whole, so what is left is rounding noise
+
+    whole = work.where("_pi >= 1")
+    first = settle(work.where("_pi < 1").groupBy(*names, "_block").applyInPandas(decide, schema), "duels")
+    left = first.where("_pi > 0 and _pi < 1").groupBy(*names).applyInPandas(finish, schema)  # one row per block at most
+    return whole.unionByName(first.where("_pi >= 1")).unionByName(left.where("_pi >= 1")).select("id", *names)
 
 
 def plan_table(records: DataFrame, plan: list[dict], names: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ _TASK = r"(?:be )?(?:able to )?(?:assist|help|answer|answering|respond|reply|com
 _DECLINES = re.compile(rf"\b(?:i|we|me|this one and)\b[^.?!]{{0,40}}?{_UNABLE} {_TASK}\b|\b(?:as an? (?:ai|language|large language|assistant)\b[^.?!]{{0,30}}),? i {_UNABLE}|\bnot possible for me to {_TASK}|\bno comment from me\b|\bi (?:must |have to |respectfully )?(?:decline|refuse)\b|(?:sorry|unfortunately|apologies)[^.?!]{{0,25}} {_UNABLE} {_TASK}\b", re.I)
 #: What a sentence must hold before the grammar is tried.
 _HINT = re.compile(r"can['’]?t|can ?not|could|won['’]?t|will not|would|unable|not |declin|refus|no comment", re.I)
-_QUOTED = re.compile(r"(?<!\w)(?:'[^'\n]{2,400}?'(?!\w)|‘[^’\n]{2,400}’|\"[^\"\n]{2,400}\"|“[^”\n]{2,400}”)")
+_QUOTED = re.compile(r"(?<!\w)(?:'(?:[^'\n]|(?<=\w)'(?=\w)){2,400}?'(?!\w)|‘[^’\n]{2,400}’|\"[^\"\n]{2,400}\"|“[^”\n]{2,400}”)")
 
 # Frequent function words of English and of the other languages in use.
 _ENGLISH = set("the a an and or of to in on at by for from with without is are was were be been it its this that these those there then than he she they you your we our i my me him her his their what which who when where why how does do did has have had not no if so as but can could would will should about into out up down over after before all some any each more most one two".split())
@@ -65,17 +65,18 @@ def is_empty(text: str | None) -> bool:
 
 def tiled_words(a: list[str], b: list[str], shortest: int = SHORTEST_TILE) -> int:
     """Words of ``a`` covered by greedy string tiling with ``b``: longest common runs first, no overlaps."""
+    k = min(shortest, 2)  # runs are looked up by their first words
     free_a, free_b = [True] * len(a), [True] * len(b)
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        places.setdefault(w, []).append(j)
+    places: dict[tuple, list[int]] = {}
+    for j in range(len(b) - k + 1):
+        places.setdefault(tuple(b[j : j + k]), []).append(j)
     covered = 0
     while True:
         longest, found = shortest - 1, []
-        for i, w in enumerate(a):
+        for i in range(len(a) - k + 1):
             if not free_a[i]:
                 continue
-            for j in places.get(w, ()):
+            for j in places.get(tuple(a[i : i + k]), ()):
                 n = 0
                 while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
                     n += 1

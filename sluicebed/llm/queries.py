@@ -43,7 +43,7 @@ def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p2_plan(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
-    return sampling_plan(table(spark, d, "v1_test"), "id", [F.col("slice"), named_label(F.col("gold_verdict"))], table(spark, d, "sample_targets"), P2_SHARE)
+    return sampling_plan(table(spark, d, "v1_test"), "id", {"slice": F.col("slice"), "gold_verdict": named_label(F.col("gold_verdict"))}, table(spark, d, "sample_targets"), P2_SHARE)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

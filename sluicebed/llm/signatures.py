@@ -3,10 +3,11 @@
 Each text is the set of its (word, occurrence) elements. A coordinate of its signature is a hash of
 ``rows`` minwise values; an element's chance to be the minimum grows with the word's rarity, so that
 words which stand in most texts of the collection hardly ever make two unlike texts collide. The
-weights come from the document frequencies over *all* texts of the same field. Only words that stand
-in more than ``COMMON_SHARE`` of the texts need a weight of their own, which bounds the table that
-goes to the executors by (mean distinct words of a text) / ``COMMON_SHARE`` entries, whatever the
-number of texts.
+weights come from the document frequencies over *all* texts of the same field and lie between
+``LEAST_WEIGHT`` and 3, so that edits of rare words cannot outweigh the many words two texts share.
+Only words that stand in more than ``COMMON_SHARE`` of the texts need a weight of their own, which
+bounds the table that goes to the executors by (mean distinct words of a text) / ``COMMON_SHARE``
+entries, whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle
 from .words import WordHashes, bag_hash, signed, words
 
-COORDINATES, ROWS, MATCHES = 28, 5, 2
-COMMON_SHARE = 0.002
+COORDINATES, ROWS, MATCHES = 32, 5, 2
+COMMON_SHARE, LEAST_WEIGHT = 0.05, 0.3
 #: A posting list longer than this is not merged by pairs; see ``merge_postings``.
 LONG_LIST = 256
-_FLUSH, _SLICE, _ELEMENTS = 200_000, 2_000, 50_000
+#: Word counts kept, texts signed at once, elements whose scores are kept, elements looked up at once.
+_FLUSH, _SLICE, _ELEMENTS, _BLOCK = 200_000, 2_000, 50_000, 16_000
 
 _PROFILE = "side int, field int, id string, cls bigint, n_words int, word bigint, n bigint"
 _PROFILE_ARROW = pa.schema([("side", pa.int32()), ("field", pa.int32()), ("id", pa.string()), ("cls", pa.int64()), ("n_words", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
@@ -92,7 +94,7 @@ def word_weights(prof: DataFrame) -> dict[int, tuple[float, dict[int, float]]]:
     common = prof.where("id is null").groupBy("field", "word").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
     out: dict[int, tuple[float, dict[int, float]]] = {f: (-math.log(COMMON_SHARE), {}) for f in sizes}
     for r in common.collect():
-        out[r.field][1][r.word] = min(-math.log(COMMON_SHARE), max(0.05, math.log((sizes[r.field] + 1) / r.n)))
+        out[r.field][1][r.word] = min(-math.log(COMMON_SHARE), max(LEAST_WEIGHT, math.log((sizes[r.field] + 1) / r.n)))
     return out
 
 
@@ -110,41 +112,62 @@ class Signer:
         base = [self.hashes[w] for w, _ in new]
         h = _mix(np.array(base, dtype=np.uint64) + np.array([o for _, o in new], dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
         weight = np.array([self.weights.get(signed(x), self.rare) for x in base])
+        first = self.index[new[0]]
         for at in range(0, len(new), 1000):
             u = (_mix(h[at : at + 1000, None] ^ self.seeds[None, :]) >> np.uint64(11)).astype(np.float64)
-            first = self.index[new[at]]
-            self.scores[first : first + len(u)] = -np.log((u + 1.0) * 2.0**-53) / weight[at : at + 1000, None]
+            self.scores[first + at : first + at + len(u)] = -np.log((u + 1.0) * 2.0**-53) / weight[at : at + 1000, None]
 
     def sign(self, texts: list[list[str]]) -> np.ndarray:
-        """An array (texts, coordinates) of signed 64-bit values; every text needs at least one word."""
-        out = np.empty((len(texts), self.m), np.int64)
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            if len(self.index) + sum(map(len, part)) > len(self.scores):
-                self.index.clear()
-                if sum(map(len, part)) > len(self.scores):
-                    self.scores = np.empty((sum(map(len, part)), self.m * self.r), np.float32)
-            ids, starts, new = [], [], []
-            for tokens in part:
-                starts.append(len(ids))
-                seen: dict[str, int] = {}
-                for w in tokens:
-                    o = seen.get(w, 0)
-                    seen[w] = o + 1
-                    k = self.index.get((w, o))
-                    if k is None:
-                        k = self.index[(w, o)] = len(self.index)
-                        new.append((w, o))
-                    ids.append(k)
+        """An array (texts, coordinates) of signed 64-bit values; every text needs at least one word.
+
+        Elements go through in blocks of bounded size, so a text of any length takes no more memory.
+        """
+        low = np.full((len(texts), self.m * self.r), np.inf, np.float32)
+        ids: list[int] = []
+        starts: list[int] = []
+        owners: list[int] = []
+        new: list[tuple[str, int]] = []
+
+        def flush() -> None:
             if new:
                 self._add(new)
-            low = np.minimum.reduceat(self.scores[np.array(ids)], np.array(starts), axis=0).view(np.uint32).astype(np.uint64)
-            low = low.reshape(len(part), self.m, self.r)
-            value = np.broadcast_to(self.tags, (len(part), self.m)).copy()
-            for j in range(self.r):
-                value = _mix(value ^ low[:, :, j])
-            out[at : at + len(part)] = value.view(np.int64)
-        return out
+            if ids:
+                part = np.minimum.reduceat(self.scores[np.array(ids)], np.array(starts), axis=0)
+                at = np.array(owners)
+                low[at] = np.minimum(low[at], part)
+            ids.clear(), starts.clear(), owners.clear(), new.clear()
+
+        for t, tokens in enumerate(texts):
+            seen: dict[str, int] = {}
+            starts.append(len(ids))
+            owners.append(t)
+            for w in tokens:
+                o = seen.get(w, 0)
+                seen[w] = o + 1
+                k = self.index.get((w, o))
+                if k is None:
+                    if len(self.index) >= len(self.scores):
+                        if starts[-1] == len(ids):
+                            starts.pop(), owners.pop()
+                        flush()
+                        self.index.clear()
+                        starts.append(0)
+                        owners.append(t)
+                    k = self.index[(w, o)] = len(self.index)
+                    new.append((w, o))
+                ids.append(k)
+                if len(ids) >= _BLOCK:
+                    flush()
+                    starts.append(0)
+                    owners.append(t)
+            if starts[-1] == len(ids):  # nothing of this text is left in the block
+                starts.pop(), owners.pop()
+        flush()
+        value = np.broadcast_to(self.tags, (len(texts), self.m)).copy()
+        bits = low.view(np.uint32).astype(np.uint64).reshape(len(texts), self.m, self.r)
+        for j in range(self.r):
+            value = _mix(value ^ bits[:, :, j])
+        return value.view(np.int64)
 
 
 def postings(texts: DataFrame, weights: dict, min_words: int, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
