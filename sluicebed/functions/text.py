@@ -198,11 +198,15 @@ def user_prompt(problem: Column, solution: Column, history: Column, message: Col
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix: the first place where the two differ, less one."""
+    """Length of the longest common prefix, by bisection: each step compares two prefixes as a whole."""
     n = F.least(F.length(a), F.length(b))
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    differ = F.filter(places, lambda i: (i > n) | (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    return F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, n)
+    steps = F.array(*(F.lit(1 << k) for k in range(29, -1, -1)))
+
+    def longer(low: Column, step: Column) -> Column:
+        same = F.substring(a, F.lit(1), low + step) == F.substring(b, F.lit(1), low + step)
+        return F.when((low + step <= n) & same, low + step).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), longer)
 
 
 def portable_hash(*parts: Column | str) -> Column:

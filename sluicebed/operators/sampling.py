@@ -23,15 +23,23 @@ def cap_per_class(df: DataFrame, by: list[str], order: list[Column], cap: int) -
 
 
 def downsample(df: DataFrame, by: str, key: str, seed: str, cap: int | None = None) -> DataFrame:
-    """Each class down to the size of the smallest one (and to ``cap``), in hash order."""
-    least = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    """Each class down to the size of the smallest one (and to ``cap``), in hash order.
+
+    A class may hold most of the rows, so positions come from a range sort over all partitions.
+    """
+    pos = positions_within(df.withColumn("_h", hash_order(key, seed)[0]), [by], [F.col("_h"), F.col(key)], "_pos").drop("_h")
+    least = pos.groupBy(by).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
     target = least.select(F.least("least", F.lit(cap)).alias("least")) if cap else least
-    return ranked(df, [by], hash_order(key, seed)).join(F.broadcast(target), F.col("rn") <= F.col("least")).drop("rn", "least")  # one row
+    return pos.join(F.broadcast(target), F.col("_pos") < F.col("least")).drop("_pos", "least")  # one row
 
 
 def round_robin(df: DataFrame, by: str, cells: list[str], key: str, seed: str, quota: int) -> DataFrame:
-    """Per class, one row of each cell in turn until the quota is full; cells in hash order."""
-    inside = ranked(df, [by, *cells], hash_order(key, seed), "turn")
+    """Per class, one row of each cell in turn until the quota is full; cells in hash order.
+
+    A cell gives at most one row per turn, so rows after turn ``quota`` cannot be picked and are cut
+    off before the shuffle.
+    """
+    inside = ranked(df, [by, *cells], hash_order(key, seed), "turn").where(F.col("turn") <= quota)
     cell_hash = portable_hash(seed, *(F.col(c) for c in [by, *cells]))
     return ranked(inside, [by], [F.col("turn"), cell_hash, F.col(key)], "pick").where(F.col("pick") <= quota).drop("turn", "pick")
 
@@ -47,14 +55,30 @@ def global_rank(df: DataFrame, key: str, seed: str, name: str = "pos") -> DataFr
 
 def ordered_positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """A 0-based position in the given total order without a single-task sort."""
+    return positions_within(df, [], order, name)
+
+
+def positions_within(df: DataFrame, by: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """A 0-based position within each class, however many rows a class has.
+
+    Rows are range partitioned by class and order; every partition numbers its own rows and adds the
+    rows of the class in the partitions before it, one number per class and partition.
+    """
     from ..plans.lineage import settle
 
     # Settled, so that both uses below see the same split into partitions.
-    cut = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return cut.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")  # a row per partition
+    keys = [F.col(c) for c in by]
+    cut = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    numbered = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1)
+    side = before.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(by)), "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    joined = numbered.join(F.broadcast(side), same)  # a row per class and partition
+    return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before", "_p", *(f"_b{i}" for i in range(len(by))))
 
 
 def three_way_split(df: DataFrame, key: str, seed: str) -> DataFrame:

@@ -48,7 +48,7 @@ def quota_sample(spark, d):
     """Quotas are the rounded shares of 300 rows, at most what a class has."""
     shares = {"adequate": 0.24, "mismatched_calibration": 0.28, "vague_unhelpful": 0.24, "gives_final_answer": 0.12, "gives_away_key_step": 0.12}
     quota = spark.createDataFrame([(k, round(300 * v)) for k, v in shares.items()], "verdict string, quota int")
-    k = S.ranked(_records(spark, d).select("id", "verdict"), ["verdict"], S.hash_order("id", "0"))
+    k = S.ranked(_records(spark, d).select("id", "verdict"), ["verdict"], S.hash_order("id", "0")).where("rn <= 300")  # no quota is larger
     return k.join(F.broadcast(quota), "verdict").where("rn <= quota").select("id", "verdict")  # a row per verdict
 
 

@@ -101,12 +101,13 @@ def marked_answers(spark, d):
 
 @query(f"WITH {GOLD} SELECT id, gold AS pred FROM gold")
 def result_blobs(spark, d):
-    """A result file with its items under a key."""
+    """Results of a hundred items or so each, with their items under a key."""
     path = _scratch(spark, "blob")
     g = gold(spark, d).select("id", c("gold").alias("pred"))
-    blob = g.groupBy().agg(F.to_json(F.struct(F.collect_list(F.struct("id", "pred")).alias("per_item"))).alias("value"))  # one small result file
-    blob.write.text(path)
-    return jsonl.result_items(spark, path)
+    parts = max(1, g.count() // 100)
+    blobs = g.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "pred")).alias("per_item"))).alias("value"))
+    blobs.select("value").write.text(path)
+    return jsonl.result_items(spark, path, one_per_line=True)
 
 
 @query(f"WITH {_REC} SELECT id, coalesce(verdict, '') AS label FROM r")

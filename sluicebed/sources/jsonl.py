@@ -113,9 +113,12 @@ def write_chunks(df: DataFrame, path: str, chunks: int, order: list[Column]) ->
     ceil_chunks(df, order, chunks).write.mode("overwrite").partitionBy("batch").option("ignoreNullFields", "false").json(path)
 
 
-def result_items(spark: SparkSession, path: str) -> DataFrame:
-    """(id, pred) of a result file that is a list, or holds one under ``items`` or ``per_item``."""
+def result_items(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """(id, pred) of result files that are a list, or hold one under ``items`` or ``per_item``.
+
+    A file is one result, or with ``one_per_line`` each of its lines is.
+    """
     v = F.try_parse_json(F.col("value"))
     as_list = F.coalesce(F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), v), F.try_variant_get(v, "$.items", "variant"), F.try_variant_get(v, "$.per_item", "variant"))
-    rows = spark.read.text(path, wholetext=True).select(F.try_variant_get(as_list, "$", "array<struct<id:string,pred:string>>").alias("items"))
+    rows = spark.read.text(path, wholetext=not one_per_line).select(F.try_variant_get(as_list, "$", "array<struct<id:string,pred:string>>").alias("items"))
     return rows.select(F.explode("items").alias("x")).select("x.id", "x.pred")
