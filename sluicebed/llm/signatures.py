@@ -214,8 +214,8 @@ def postings(texts: DataFrame, weights: dict, min_words: int, coordinates: int =
     return texts.select("side", "field", "id", "text").mapInArrow(scan, _POSTING)
 
 
-def _pairs(v: np.ndarray, c: np.ndarray, s: np.ndarray, cross: bool, longest: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of sorted postings: (0, a, b) pairs of short lists and (1, v, cls) rows of long lists."""
+def _pairs(v: np.ndarray, c: np.ndarray, s: np.ndarray, cross: bool, longest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sorted postings: (0, a, b) pairs of short lists and (1 + side, v, cls) rows of long lists."""
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
     v, c, s = v[keep], c[keep], s[keep]
@@ -228,7 +228,7 @@ def _pairs(v: np.ndarray, c: np.ndarray, s: np.ndarray, cross: bool, longest: in
     if longest is not None:
         long = total > longest
         if long.any():
-            yield 1, v[long], c[long]
+            yield 1 + s[long], v[long], c[long]
         v, c, s, rank, total = v[~long], c[~long], s[~long], rank[~long], total[~long]
     for step in range(1, int(total.max(initial=1))):  # each posting meets the one ``step`` places after it
         first = np.flatnonzero(rank + step < total)
@@ -241,7 +241,7 @@ def _pairs(v: np.ndarray, c: np.ndarray, s: np.ndarray, cross: bool, longest: in
             a, b = np.minimum(a, b), np.maximum(a, b)
         ok = a != b
         if ok.any():
-            yield 0, a[ok], b[ok]
+            yield np.zeros(int(ok.sum()), np.int32), a[ok], b[ok]
 
 
 def _merge(sorted_postings: DataFrame, cross: bool, longest: int | None) -> DataFrame:
@@ -251,8 +251,8 @@ def _merge(sorted_postings: DataFrame, cross: bool, longest: int | None) -> Data
         held: list[tuple] = []
         passed: int | None = None  # the value of a long list whose first part went out already
 
-        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], schema=_MERGED_ARROW)
+        def out(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a), pa.array(b)], schema=_MERGED_ARROW)
 
         def merged(columns: list[tuple]) -> Iterator[pa.RecordBatch]:
             v, c, s = (np.concatenate(x) for x in zip(*columns))
@@ -264,7 +264,7 @@ def _merge(sorted_postings: DataFrame, cross: bool, longest: int | None) -> Data
             if passed is not None and len(v):
                 end = int(np.searchsorted(v, passed, side="right"))
                 if end:
-                    yield out(1, v[:end], c[:end])
+                    yield out(1 + s[:end], v[:end], c[:end])
                 v, c, s = v[end:], c[end:], s[end:]
             if not len(v):
                 continue
@@ -283,7 +283,7 @@ def _merge(sorted_postings: DataFrame, cross: bool, longest: int | None) -> Data
                 held = [(v, c, s)]
                 new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
                 if len(new) > longest:
-                    yield out(1, v[new], c[new])
+                    yield out(1 + s[new], v[new], c[new])
                     held, passed = [], int(v[-1])
         if held:
             yield from merged(held)
@@ -304,17 +304,13 @@ def merge_postings(posted: DataFrame, cross: bool = False) -> DataFrame:
     merged = settle(_merge(posted.repartition(F.col("v")).sortWithinPartitions("v", "cls", "side"), cross, LONG_LIST), "merged")
     pairs = merged.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n"))
     enough = pairs.where(F.col("n") >= MATCHES).select("a", "b")
-    long = merged.where("kind = 1").select(F.col("a").alias("v"), F.col("b").alias("cls")).distinct()
+    long = merged.where("kind > 0").select(F.col("a").alias("v"), F.col("b").alias("cls"), (F.col("kind") - 1).alias("side")).distinct()
     if long.isEmpty():
         return enough
     hot = long.select("cls").distinct()
     once = pairs.where("n = 1").join(hot.withColumnRenamed("cls", "a"), "a", "left_semi").join(hot.withColumnRenamed("cls", "b"), "b", "left_semi").select("a", "b")
     # A class has at most one value per coordinate, so the collected list is bounded by their number.
-    lists = long.groupBy("cls").agg(F.array_sort(F.collect_set("v")).alias("vs"))
-    again = lists.select("cls", F.explode(F.expr("flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")).alias("v"))
-    if cross:
-        again = again.join(posted.select("cls", "side").distinct(), "cls").select("v", "cls", "side")
-    else:
-        again = again.select("v", "cls", F.lit(0).alias("side"))
+    lists = long.groupBy("cls", "side").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    again = lists.select(F.explode(F.expr("flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")).alias("v"), "cls", "side")
     twice = _merge(again.repartition(F.col("v")).sortWithinPartitions("v", "cls", "side"), cross, None).where("kind = 0").select("a", "b")
     return enough.unionByName(once).unionByName(twice).distinct()
