@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +25,16 @@ COPY_SHARE, SHORTEST_TILE = 0.65, 2
 # Placeholders, as lower-case letters and digits with single spaces.
 PLACEHOLDERS = set("null|none|nil|nan|na|n a|tbd|tba|tbc|todo|to do|empty|blank|missing|undefined|unknown|placeholder|pending|deleted|removed|no response|no answer|no reply|no text|no message|no output|no content|not available|not applicable|to be determined|to be done|left blank|insert text here|your text here|response|answer|text|xxx|x".split("|"))
 
+#: Longer texts that begin with a letter or digit are no placeholders: a few marks around a few words.
+_LONGEST_PLACEHOLDER = 60
+
 # The words of declining sentences.
 _APOS = "['’]"
 _UNABLE = rf"(?:can{_APOS}?t|cannot|can not|could not|couldn{_APOS}t|won{_APOS}t|will not|would not|wouldn{_APOS}t|(?:am|{_APOS}m|are|{_APOS}re|was) (?:not able|unable|not allowed|not permitted|not going|not in a position) to|unable to|must decline(?: to)?|have to decline(?: to)?|decline to|refuse to|must refuse(?: to)?|not possible for me to|would rather not|prefer not to)"
 _TASK = r"(?:be )?(?:able to )?(?:assist|help|answer|answering|respond|reply|comment|complete|continue|judge|assess|evaluate|grade|rate|review|write|rewrite|give|provide|offer|produce|generate|create|discuss|engage|fulfil+|do (?:this|that|so|it)|take part|process|carry out|comply|share|say more|proceed)"
 _DECLINES = re.compile(rf"\b(?:i|we|me|this one and)\b[^.?!]{{0,40}}?{_UNABLE} {_TASK}\b|\b(?:as an? (?:ai|language|large language|assistant)\b[^.?!]{{0,30}}),? i {_UNABLE}|\bnot possible for me to {_TASK}|\bno comment from me\b|\bi (?:must |have to |respectfully )?(?:decline|refuse)\b|(?:sorry|unfortunately|apologies)[^.?!]{{0,25}} {_UNABLE} {_TASK}\b", re.I)
-#: What a sentence must hold before the grammar is tried.
-_HINT = re.compile(r"can['’]?t|can ?not|could|won['’]?t|will not|would|unable|not |declin|refus|no comment", re.I)
+#: What a declining sentence cannot do without, in lower case; looked for before the grammar is tried.
+_HINTS = ("not ", "n't", "n’t", "cant", "wont", "unable", "declin", "refus", "no comment")
 _QUOTED = re.compile(r"(?<!\w)(?:'(?:[^'\n]|(?<=\w)'(?=\w)){2,400}?'(?!\w)|‘[^’\n]{2,400}’|\"[^\"\n]{2,400}\"|“[^”\n]{2,400}”)")
 
 # Frequent function words of English and of the other languages in use.
@@ -51,16 +55,24 @@ _SPACE = re.compile(r"\s+")
 _ROLE = re.compile(r"^\W*(?:you asked|question|problem|student|tutor|teacher|q|a|answer|message|the (?:question|problem) is)\s*[:\-.)]\s*", re.I)
 _EMOTICON = re.compile(r"(?:\s|^)(?:[:;=]-?[)(DPp]|<3)\s*$")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
+_FACES = (")", "(", "D", "P", "p", "3")
 _CLOSING = "\"')]}”’»*_`>"
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 
 
+def _visible(text: str) -> str:
+    return text if text.isascii() else text.translate(_INVISIBLE)
+
+
 def is_empty(text: str | None) -> bool:
     """Null, blank or a mere placeholder."""
     if text is None:
         return True
-    bare = " ".join(_WORD.findall(text.translate(_INVISIBLE).lower()))
-    return not bare or len(bare) <= 24 and bare in PLACEHOLDERS
+    text = _visible(text).strip()
+    if len(text) > _LONGEST_PLACEHOLDER and any(c.isalnum() for c in text[:8]):
+        return False
+    bare = " ".join(_WORD.findall(text.lower()))
+    return not bare or bare in PLACEHOLDERS
 
 
 def tiled_words(a: list[str], b: list[str], shortest: int = SHORTEST_TILE) -> int:
@@ -116,7 +128,8 @@ def copied_share(a: list[str], b: list[str]) -> float:
 
 def declines(text: str) -> bool:
     """Whether a sentence of the text, quotations aside, declines the task."""
-    if not _HINT.search(text):
+    low = text.lower()
+    if not any(h in low for h in _HINTS):
         return False
     bare = text.strip().strip("\"“”")
     return bool(_DECLINES.search(_SPACE.sub(" ", _QUOTED.sub(" ", bare))))
@@ -170,7 +183,9 @@ def open_structure(text: str) -> list[str]:
 
 def breaks_off(text: str) -> bool:
     """Whether the text ends inside a sentence, as a pushdown parser over its structure sees it."""
-    text = _EMOTICON.sub("", text.translate(_INVISIBLE).rstrip()).rstrip()
+    text = _visible(text).rstrip()
+    if text.endswith(_FACES):
+        text = _EMOTICON.sub("", text).rstrip()
     end = len(text)
     while end and (text[end - 1] in _CLOSING or text[end - 1].isspace()):
         end -= 1
@@ -192,6 +207,7 @@ def breaks_off(text: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=64)  # the texts of a record are compared with each of its fields in turn
 def _bare(text: str) -> list[str]:
     if ":" in text[:40] or "-" in text[:40] or "." in text[:12] or ")" in text[:12]:
         for _ in range(3):
@@ -202,12 +218,13 @@ def _bare(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def defect_of(text: str | None, own_texts: list[list[str]]) -> str | None:
-    """The defect of a text, given the words of the texts of its record that it must not merely repeat."""
+def defect_of(text: str | None, own_texts: list[str | None]) -> str | None:
+    """The defect of a text, given the texts of its record that it must not merely repeat."""
     if is_empty(text):
         return "empty"
-    tokens = _bare(text)
-    if any(copied_share(tokens, own) >= COPY_SHARE for own in own_texts):
+    tokens, n = _bare(text), len(text)
+    # a copy has about the words of its source, so lengths that differ six times over rule it out
+    if any(own and n < 6 * len(own) + 60 and len(own) < 6 * n + 60 and copied_share(tokens, _bare(own)) >= COPY_SHARE for own in own_texts):
         return "copy"
     if declines(text):
         return "refusal"
@@ -230,12 +247,11 @@ def find_defects(df: DataFrame, id_column: str, fields: list[str], problem: str,
         for batch in batches:
             ids, names, kinds = [], [], []
             for key, p, h, m, v, *texts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                own = [_bare(x) for x in (p, *(h or [])) if x]
-                said = [_bare(m)] if m else []
+                own = [p, *(h or [])]
                 for name, text in zip(fields, texts):
                     if text is None and name == "rewritten_message" and v is not None and v.strip().lower() == "adequate":
                         continue
-                    kind = defect_of(text, own if name == message else own + said)
+                    kind = defect_of(text, own if name == message else [*own, m])
                     if kind:
                         ids.append(key)
                         names.append(name)

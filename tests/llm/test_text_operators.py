@@ -12,7 +12,7 @@ from sluicebed.llm.pieces import cut_points, split_oversized
 from sluicebed.llm.tokens import TOKEN
 from sluicebed.llm.words import WordHashes, words
 
-OWN = [D._bare("Problem: Nela has 12 red boxes and buys 30 more. How many boxes are there now?"), D._bare("Student: I wrote 12 and 30 next to each other, is that wrong?")]
+OWN = ["Problem: Nela has 12 red boxes and buys 30 more. How many boxes are there now?", None, "Student: I wrote 12 and 30 next to each other, is that wrong?"]
 
 
 @pytest.mark.parametrize(
