@@ -28,13 +28,20 @@ PLACEHOLDERS = set("null|none|nil|nan|na|n a|tbd|tba|tbc|todo|to do|empty|blank|
 #: Longer texts that begin with a letter or digit are no placeholders: a few marks around a few words.
 _LONGEST_PLACEHOLDER = 60
 
-# The words of declining sentences.
-_APOS = "['’]"
-_UNABLE = rf"(?:can{_APOS}?t|cannot|can not|could not|couldn{_APOS}t|won{_APOS}t|will not|would not|wouldn{_APOS}t|(?:am|{_APOS}m|are|{_APOS}re|was) (?:not able|unable|not allowed|not permitted|not going|not in a position) to|unable to|must decline(?: to)?|have to decline(?: to)?|decline to|refuse to|must refuse(?: to)?|not possible for me to|would rather not|prefer not to)"
-_TASK = r"(?:be )?(?:able to )?(?:assist|help|answer|answering|respond|reply|comment|complete|continue|judge|assess|evaluate|grade|rate|review|write|rewrite|give|provide|offer|produce|generate|create|discuss|engage|fulfil+|do (?:this|that|so|it)|take part|process|carry out|comply|share|say more|proceed)"
-_DECLINES = re.compile(rf"\b(?:i|we|me|this one and)\b[^.?!]{{0,40}}?{_UNABLE} {_TASK}\b|\b(?:as an? (?:ai|language|large language|assistant)\b[^.?!]{{0,30}}),? i {_UNABLE}|\bnot possible for me to {_TASK}|\bno comment from me\b|\bi (?:must |have to |respectfully )?(?:decline|refuse)\b|(?:sorry|unfortunately|apologies)[^.?!]{{0,25}} {_UNABLE} {_TASK}\b", re.I)
-#: What a declining sentence cannot do without, in lower case; looked for before the grammar is tried.
-_HINTS = ("not ", "n't", "n’t", "cant", "wont", "unable", "declin", "refus", "no comment")
+# The words of declining sentences. A sentence of the first person declines if it holds a
+# word of unwillingness and after it a task that was asked for; a few set phrases decline by themselves.
+_FIRST = re.compile(r"\b(?:i|me|my|we|us|our)\b")
+_TASK = r"(?:assist|help|answer|answering|respond|reply|comment|complete|continue|judge|assess|evaluate|grade|rate|review|write|rewrite|give|giving|provide|offer|produce|generate|create|discuss|discussing|engage|fulfil+|do (?:this|that|so|it)|take part|process|carry (?:on|out)|comply|say more|proceed|handle|address|deal with|work on|look at|go on|go further)"
+_UNWILLING = r"(?:n['’]t|\b(?:not|cant|wont|never|cannot|unable|unwilling|declin\w*|refus\w*|refrain\w*|abstain\w*|pass on|skip\w*|avoid\w*|uncomfortable|inappropriate|improper|barred|forbidden|prohibited|impossible|reluctant|hesitant|outside|beyond|against|rather leave|sit this))"
+_DECLINES = re.compile(rf"(?P<neg>{_UNWILLING})\b[^.?!]{{0,60}}?\b{_TASK}\b")
+_SET_PHRASES = re.compile(r"\bno comment\b|\bi (?:\w+ )?(?:decline|refuse|abstain)\b|\bi (?:must|have to|will|would|shall|may|can) (?:\w+ )?(?:decline|refuse|pass on|abstain)\b|\b(?:as an? (?:ai|language|large language|assistant)\b[^.?!]{0,40}?)(?:can|could|will|would|wo|do|am|may|must)\s?(?:n['’]t|not|decline|unable)|\bcount me out\b|\bi['’]ll pass\b")
+_KEEPS_ANSWER = re.compile(rf"\b(?:give|giving|provide|offer|say)\b[^.?!]{{0,20}}\b(?:answer|solution|result|away)\b")
+#: Grounds and referrals that go with declining; one ground or two referrals are enough.
+_GROUNDS = re.compile(r"\b(?:guidelines?|polic(?:y|ies)|rules?|terms|instructions)\b[^.?!]{0,60}\b(?:not (?:allow|permit)|n['’]t (?:allow|permit)|forbid|prohibit|prevent)|\b(?:outside|beyond|not (?:part of|within)) (?:of )?(?:my|our) (?:role|remit|scope|job|task|competence|purview|abilities|capabilities)|\bbeyond what (?:i|we) (?:may|can|could|am|are)\b|\black the (?:information|knowledge|context|authority)\b[^.?!]{0,60}\bto do (?:so|that|this)|\brisk in discussing\b")
+_REFERRALS = re.compile(r"\bplease (?:ask|contact|consult|see|turn to|speak (?:to|with))\b[^.?!]{0,60}\binstead\b|\byou (?:may|can|could|might) (?:contact|ask|consult)\b[^.?!]{0,60}\bfor help\b|\bperhaps (?:a|an|another|your) (?:teacher|adult|parent|tutor)\b")
+#: What a declining text cannot do without, in lower case; looked for before the grammar is tried.
+_HINTS = ("not ", "n't", "n’t", "cant ", "wont ", "never", "unable", "unwilling", "declin", "refus", "refrain", "abstain", "pass", "skip", "avoid", "comfortable", "appropriate", "improper", "barred", "forbid", "prohibit", "impossible", "reluctant", "hesitant", "outside", "beyond", "against", "rather leave", "sit this", "no comment", "count me out", "risk in")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _QUOTED = re.compile(r"(?<!\w)(?:'(?:[^'\n]|(?<=\w)'(?=\w)){2,400}?'(?!\w)|‘[^’\n]{2,400}’|\"[^\"\n]{2,400}\"|“[^”\n]{2,400}”)")
 
 # Frequent function words of English and of the other languages in use.
@@ -127,12 +134,20 @@ def copied_share(a: list[str], b: list[str]) -> float:
 
 
 def declines(text: str) -> bool:
-    """Whether a sentence of the text, quotations aside, declines the task."""
+    """Whether the text, quotations aside, declines its task."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return False
-    bare = text.strip().strip("\"“”")
-    return bool(_DECLINES.search(_SPACE.sub(" ", _QUOTED.sub(" ", bare))))
+    low = _SPACE.sub(" ", _QUOTED.sub(" ", low.strip().strip("\"“”")))
+    if _SET_PHRASES.search(low) or _GROUNDS.search(low) or len(_REFERRALS.findall(low)) > 1:
+        return True
+    for sentence in _SENTENCE.split(low):
+        if sentence.endswith("?") or not _FIRST.search(sentence):
+            continue
+        m = _DECLINES.search(sentence)
+        if m and not _KEEPS_ANSWER.search(sentence, m.start("neg")):
+            return True
+    return False
 
 
 def other_language(tokens: list[str], text: str) -> bool:
