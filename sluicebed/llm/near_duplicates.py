@@ -20,6 +20,8 @@ from .signatures import merge_postings, postings, profile, word_weights
 from .words import likeness, words
 
 MIN_WORDS, MIN_LIKENESS = 12, 0.7
+#: Records of one bag of words that are listed in all their pairs; see ``near_duplicate_pairs``.
+EXPANDED = 1000
 
 _LINKS = "a bigint, b bigint, likeness double"
 _LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
@@ -71,13 +73,23 @@ def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float
 
 
 def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS) -> DataFrame:
-    """Every pair of different ids with alike texts in a field: (field_name, id_a, id_b), id_a < id_b."""
+    """Every pair of different ids with alike texts in a field: (field_name, id_a, id_b), id_a < id_b.
+
+    A bag of words that more than ``EXPANDED`` records share is not expanded into all pairs, which
+    would be their number squared: each of its records is paired with the smallest id of them, which
+    also stands for all of them in pairs with other texts. No link between different texts is lost.
+    """
     members, links = find_links(texts, min_words, min_likeness)
-    a = members.select(F.col("cls").alias("a"), "field", F.col("id").alias("x"))
-    b = members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    shared = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    crowded = shared.where(F.col("n") > EXPANDED).select("cls", "first")
+    ends = members.join(crowded, "cls", "left").where("first is null or id = first").select("cls", "field", "id")
+    a = ends.select(F.col("cls").alias("a"), "field", F.col("id").alias("x"))
+    b = ends.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     alike = links.join(a, "a").join(b, "b").select("field", "x", "y")
-    copies = a.join(b, F.col("a") == F.col("b")).where("x < y").select("field", "x", "y")
-    pairs = alike.unionByName(copies).where("x <> y")
+    few = members.join(shared.where(F.col("n") <= EXPANDED).select("cls"), "cls").select("cls", "field", "id")
+    copies = few.select("cls", "field", F.col("id").alias("x")).join(few.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("field", "x", "y")
+    stars = members.join(crowded, "cls").select("field", F.col("first").alias("x"), F.col("id").alias("y"))
+    pairs = alike.unionByName(copies).unionByName(stars).where("x <> y")
     name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
     return pairs.select(name.alias("field_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

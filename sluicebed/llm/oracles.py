@@ -46,17 +46,31 @@ a AS (SELECT slice, gold_verdict, count(DISTINCT id) AS available FROM r GROUP B
 p AS (SELECT t.slice, t.gold_verdict, target_share, min_rows, greatest(min_rows, ceil(round(target_share * n, 9)))::BIGINT AS wanted, coalesce(available, 0) AS available FROM sample_targets t CROSS JOIN n LEFT JOIN a USING (slice, gold_verdict))"""
 
 
+_TEXT_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_GRAMS = "unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)])"
+_P8 = f"""WITH d AS (SELECT DISTINCT doc_id, {_TEXT_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, {_GRAMS} AS g FROM d WHERE len(w) >= 12),
+f AS (UNPIVOT (SELECT id AS item_id, problem, correct_solution, candidate_message FROM gives_away_probe) ON problem, correct_solution, candidate_message INTO NAME field VALUE text),
+i AS (SELECT DISTINCT item_id, field, {_TEXT_WORDS} AS w FROM f),
+ig AS (SELECT item_id, field, {_GRAMS} AS g FROM i WHERE len(w) >= 12),
+hit AS (SELECT DISTINCT doc_id, item_id, field FROM dg JOIN ig USING (g))"""
+_P8_SPANS = """dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS dp FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+iw AS (SELECT item_id, field, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS ip FROM i),
+m AS (SELECT doc_id, item_id, field, dp - ip AS shift, dp FROM hit JOIN dw USING (doc_id) JOIN iw USING (item_id, field, w)),
+run AS (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, item_id, field, shift ORDER BY dp) AS grp FROM m),
+span AS (SELECT doc_id, item_id, field, count(*) AS n_words, min(dp) AS start_word FROM run GROUP BY doc_id, item_id, field, shift, grp),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, field ORDER BY n_words DESC, start_word) AS rn FROM span) WHERE rn = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p2_found": f"{_P2} SELECT slice, gold_verdict FROM p WHERE available < wanted",
         "p4_found": f"{_P4} SELECT f AS field_name, x AS id_a, y AS id_b FROM r",
         "p5_found": f"{_P5} SELECT x AS test_id, y AS train_id, f AS field_name FROM r",
-        "p8_found": """WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM d WHERE len(w) >= 12),
-i AS (SELECT id AS item_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM (SELECT id, unnest([problem, correct_solution, candidate_message]) AS t FROM gives_away_probe) WHERE t IS NOT NULL),
-ig AS (SELECT item_id, unnest([array_to_string(w[i:i + 11], ' ') for i in range(1, len(w) - 10)]) AS g FROM i WHERE len(w) >= 12)
-SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p8_found": f"{_P8} SELECT DISTINCT doc_id, item_id FROM hit",
+        "p8_spans": f"{_P8}, {_P8_SPANS} SELECT doc_id, item_id, field, n_words, start_word FROM best",
+        "p8_items": f"{_P8}, {_P8_SPANS} SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n_words) AS longest_words, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM best GROUP BY item_id",
         "p9_found": r"SELECT DISTINCT doc_id FROM documents, (SELECT min(max_tokens) AS m FROM token_limits WHERE purpose = 'piece') WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s]')) > m",
         "p5_report": f"""{_P5},
 p AS (SELECT 'test' AS split, id, min(slice) AS source FROM v1_test GROUP BY id UNION ALL SELECT 'train', id, min(slice) FROM v1_b GROUP BY id),

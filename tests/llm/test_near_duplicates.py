@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluicebed.llm import signatures
+from sluicebed.llm import near_duplicates, signatures
 from sluicebed.llm.components import component_labels
 from sluicebed.llm.cross_split import cross_split_pairs, overlap_report
 from sluicebed.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, stacked_texts
@@ -81,6 +81,14 @@ def test_long_lists_lose_nothing(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in near_duplicate_pairs(texts, ["f"]).collect()} >= whole
 
 
+def test_crowded_copies_are_not_expanded(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "EXPANDED", 3)
+    text, near = "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q"
+    rows = [(f"c{i}", text) for i in range(6)] + [("n1", near), ("n2", near), ("z", "r s t u v w x y z aa bb cc dd")]
+    pairs = near_duplicate_pairs(stacked_texts([(0, 0, spark.createDataFrame(rows, "id string, text string"), "id", "text")]), ["f"])
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "n1"), ("c0", "n2"), ("n1", "n2")}
+
+
 def test_cross_split(spark):
     texts = corpus(5, n=120)
     test, train = [(f"t{i:03d}", t) for i, t in enumerate(texts[::2])], [(f"b{i:03d}", t) for i, t in enumerate(texts[1::2])]
