@@ -63,3 +63,31 @@ def refine(first: Column, rewrites: list[Column], verdicts: list[Column], origin
 def guarded(hint: Column, leaks: Column, fallback: str) -> Column:
     """The hint, or the fallback where it leaks."""
     return F.when(F.coalesce(leaks, F.lit(False)), F.lit(fallback)).otherwise(hint)
+
+
+def dispatch(items: DataFrame, registry: DataFrame, kind: str, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Run every item against every registered model, by the branch of the model's kind.
+
+    ``registry`` is a short table of models with a ``kind`` column; a kind without a branch gives no
+    rows. All branches must return the same columns.
+    """
+    tasks = items.crossJoin(F.broadcast(registry))  # a registry has a handful of rows
+    parts = [f(tasks.where(F.col(kind) == name)) for name, f in branches.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def climb(propose: Callable[[int], object], accepted: Callable[[object], bool], halted: Callable[[], bool], max_dry: int = 2, max_rounds: int = 100) -> list[dict]:
+    """Propose and keep or revert, round by round, until ``halted`` or ``max_dry`` reverts in a row."""
+    history: list[dict] = []
+    dry = 0
+    for i in range(max_rounds):
+        if halted() or dry >= max_dry:
+            break
+        candidate = propose(i)
+        ok = accepted(candidate)
+        dry = 0 if ok else dry + 1
+        history.append({"round": i, "candidate": candidate, "accepted": ok})
+    return history

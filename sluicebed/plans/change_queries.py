@@ -119,3 +119,18 @@ def iteration_formulas(spark, d):
     return n.select("n", V.iteration_count(c("n"), 4, 3, 405).alias("steps"), V.bounded_half(c("n"), 120, 700).alias("bounded"))
 
 
+
+
+@query(f"""{WITH_PREDS} SELECT p.id, r.model, CASE r.kind WHEN 'local' THEN p.pred WHEN 'gateway' THEN coalesce(p.pred, 'unknown') ELSE CASE WHEN p.pred = 'adequate' THEN p.pred ELSE 'rewritten' END END AS output
+FROM preds p JOIN (SELECT unnest(['m1', 'm2', 'm3']) AS model, unnest(['local', 'gateway', 'pipeline']) AS kind) r USING (model)""")
+def registry_dispatch(spark, d):
+    """Recorded outputs by the kind of their model: as they are, with a default, or through a second step."""
+    registry = spark.createDataFrame([("m1", "local"), ("m2", "gateway"), ("m3", "pipeline")], "model string, kind string")
+    recorded = predictions(spark, d).select("id", c("model").alias("_m"), "pred")
+    items = gold(spark, d).select("id")
+    outputs = lambda t: t.join(recorded, (t["id"] == recorded["id"]) & (t["model"] == recorded["_m"])).select(t["id"], "model", "pred")
+    return loops.dispatch(items, registry, "kind", {
+        "local": lambda t: outputs(t).withColumnRenamed("pred", "output"),
+        "gateway": lambda t: outputs(t).select("id", "model", F.coalesce("pred", F.lit("unknown")).alias("output")),
+        "pipeline": lambda t: outputs(t).select("id", "model", F.when(c("pred") == "adequate", c("pred")).otherwise("rewritten").alias("output")),
+    })

@@ -268,3 +268,17 @@ def hold_statistics(spark, d):
 def joined_class_counts(spark, d):
     t = table(spark, d, "sample_targets").select(c("gold_verdict").alias("gold"), "slice", "target_share")
     return gold(spark, d).join(t, ["gold", "slice"], "left").groupBy("gold").agg(F.count("*").alias("n"), F.min("target_share").alias("least_share"))
+
+
+_CAN = r"cn AS (SELECT model, count(*) FILTER (WHERE " + _PL + r") / count(*) AS fp FROM preds WHERE gold IS NOT NULL AND NOT " + _GL + r" AND regexp_matches(candidate_message, '(?i)\b(not quite|actually|remember|instead|isn''?t|should be|the mistake|incorrect)\b') GROUP BY model)"
+
+
+@query(f"""{WITH_PREDS}, {_LEAK_SQL}, {_CAN}, x AS (SELECT model, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall, same / n AS safety, coalesce(fp_, 0) AS canary FROM (SELECT l.*, cn.fp AS fp_ FROM l LEFT JOIN cn USING (model)))
+SELECT b.model, b.recall > a.recall AND b.safety - a.safety >= -0.005 AND b.canary - a.canary <= 0.02 AS accepted FROM x b, x a WHERE a.model = 'm1' AND b.model <> 'm1'""")
+def recall_gate(spark, d):
+    """A model is accepted over m1 if it finds more leaks without losing safety or tripping the canary."""
+    m = M.leak_metrics(predictions(spark, d), ["model"]).join(canary_false_positives(spark, d).select("model", "fp_rate"), "model", "left")
+    m = m.select("model", "recall", c("binary_accuracy").alias("safety"), F.coalesce("fp_rate", F.lit(0.0)).alias("canary"))
+    old = m.where("model = 'm1'").select(c("recall").alias("r"), c("safety").alias("s"), c("canary").alias("k"))
+    new = m.where("model <> 'm1'").crossJoin(F.broadcast(old))  # one row
+    return new.select("model", ((c("recall") > c("r")) & (c("safety") - c("s") >= -0.005) & (c("canary") - c("k") <= 0.02)).alias("accepted"))

@@ -155,3 +155,23 @@ def test_log_and_report(spark, tmp_path):
 
 def test_settle_keeps_rows(spark):
     assert sorted(r.id for r in settle(spark.range(5), "t").collect()) == list(range(5))
+
+
+def test_climb_stops():
+    got = loops.climb(lambda i: i, lambda x: x in (0, 2), lambda: False)
+    assert [h["accepted"] for h in got] == [True, False, True, False, False]
+    assert loops.climb(lambda i: i, lambda x: True, lambda: True) == []
+
+
+def test_common_prefix_of_long_texts(spark):
+    a = "ü" * 70_000 + "x"
+    row = spark.createDataFrame([(a, "ü" * 70_000 + "y"), ("", "a"), ("same", "same")], "a string, b string").select(T.common_prefix_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in row] == [70_000, 0, 4]
+
+
+def test_positions_within_skewed_classes(spark):
+    rows = [("big" if i % 10 else None, i) for i in range(500)]
+    got = sampling.positions_within(spark.createDataFrame(rows, "k string, x int").repartition(6), ["k"], [F.col("x")]).collect()
+    for key in ("big", None):
+        mine = sorted((r.x, r.pos) for r in got if r.k == key)
+        assert [p for _, p in mine] == list(range(len(mine)))
