@@ -213,7 +213,8 @@ def breaks_off(text: str) -> bool:
     if last == "…" or last == "." and end > 1 and text[end - 2] == ".":
         return True
     if last in ".?!。！？":
-        return any(c in "([{" for c in stack)  # a sentence that ends in an open bracket goes on
+        # a sentence that ends in an open bracket goes on, unless a quotation cut that bracket off
+        return any(c in "([{" for c in stack) and any(c in "([{" for c in open_structure(_QUOTED.sub(" ", text)))
     line = text[text.rfind("\n", 0, end) + 1 : end].lstrip()
     if re.match(r"(?:[-*•+]|\d+[.)])\s+\S", line) and last.isalnum() and text.count("\n") >= 2:
         return False  # list items need no full stop

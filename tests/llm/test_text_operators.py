@@ -25,7 +25,7 @@ OWN = ["Problem: Nela has 12 red boxes and buys 30 more. How many boxes are ther
         ("Nela has 12 red boxes. What does the word more tell you about the other 30, and could you draw it?", None),
         ("Lies noch einmal, wo Nela 12 Kisten kauft.", "other_language"), ("¿Qué te dice el número 30 sobre las cajas?", "other_language"), ("Relis la partie où Nela perd 20 boîtes.", "other_language"), ("Сколько коробок у неё теперь?", "other_language"),
         ("What do the 12 and the 30 each tell", "truncated"), ("Count the boxes and then the,", "truncated"), ("Think about the boxes …", "truncated"), ('Imagine 53 square "', "truncated"), ("Use this: ```x = 1", "truncated"), ("Look at the boxes (they are red.", "truncated"),
-        ("What do you see? :)", None), ("Try it once more. (Take your time.)", None), ('"What do you see?"', None), ("Steps:\n- count the red boxes\n- add the 30", None), ("Good try, keep going!", None),
+        ("What do you see? :)", None), ("Try it once more. (Take your time.)", None), ('"What do you see?"', None), ("Steps:\n- count the red boxes\n- add the 30", None), ("Good try, keep going!", None), ("The wording 'it again? (Take your' was fair. It fits.", None),
     ],
 )
 def test_defect_kinds(text, kind):
