@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settle
 from .tokens import count_tokens
 
 #: Items of a group: large enough that its last, partly filled containers do not matter.
@@ -97,6 +98,7 @@ def pack(sizes: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> Dat
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
+    sizes = settle(sizes.select("id", "n_tokens"), "sizes")  # counted first, then packed
     kind = sizes.schema["id"].dataType.simpleString()
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
     parts = sizes.select("id", "n_tokens", n_parts.alias("n_parts")).select("id", "n_parts", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
