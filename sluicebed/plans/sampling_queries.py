@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import sampling as S
+from ..operators.series import previous_values, reset_runs
 from ..session import table
 from .catalog import query, sql_hash
 from .text_queries import FEATURES_SQL, _REC, _records, features
@@ -89,17 +90,17 @@ k AS (SELECT user_id, sum(reset) OVER (PARTITION BY user_id ORDER BY ts, event_i
 SELECT user_id, run, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, run) AS rn FROM n) WHERE rn = 1""")
 def longest_runs(spark, d):
     """A new run starts where the value falls; the longest run of each user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value").withColumn("reset", F.when(c("value") < F.lag("value").over(w), 1).otherwise(0))
-    runs = e.withColumn("run", F.sum("reset").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "run").agg(F.count("*").alias("n"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    runs = reset_runs(e, ["user_id"], [c("ts"), c("event_id")], "value").groupBy("user_id", "run").agg(F.count("*").alias("n"))
     return S.cap_per_class(runs, ["user_id"], [c("n").desc(), c("run")], 1)
 
 
 @query("SELECT user_id, event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' ') AS history FROM events")
 def history_prefixes(spark, d):
     """The four events before each event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, -1)
-    return table(spark, d, "events").select("user_id", "event_id", F.nullif(F.array_join(F.collect_list("event_type").over(w), " "), F.lit("")).alias("history"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    h = previous_values(e, ["user_id"], [c("ts"), c("event_id")], "event_type", 4)
+    return h.select("user_id", "event_id", F.nullif(F.array_join("history", " "), F.lit("")).alias("history"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents")

@@ -175,3 +175,20 @@ def test_positions_within_skewed_classes(spark):
     for key in ("big", None):
         mine = sorted((r.x, r.pos) for r in got if r.k == key)
         assert [p for _, p in mine] == list(range(len(mine)))
+
+
+def test_series_over_blocks(spark, monkeypatch):
+    from sluicebed.operators import series
+
+    monkeypatch.setattr(series, "BLOCK", 7)
+    rng = random.Random(3)
+    rows = [("hot" if i % 9 else f"k{i}", i, rng.randrange(10)) for i in range(300)]
+    got = series.reset_runs(spark.createDataFrame(rows, "k string, t int, v int").repartition(5), ["k"], [F.col("t")], "v").collect()
+    want, state = {}, {}
+    for k, t, v in rows:
+        last, run = state.get(k, (None, 0))
+        run += last is not None and v < last
+        state[k] = (v, run)
+        want[(k, t)] = run
+    assert {(r.k, r.t): r.run for r in got} == want
+    assert series.reset_runs(spark.createDataFrame([], "k string, t int, v int"), ["k"], [F.col("t")], "v").count() == 0
