@@ -67,7 +67,7 @@ def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float
     64-bit class ids could coincide by chance: about once in 10^4 collections of 10^8 distinct texts.
     """
     prof = profile(texts, min_words)
-    members = prof.where("id is not null").select("side", "field", "id", "cls").distinct()
+    members = settle(prof.where("id is not null").select("side", "field", "id", "cls").distinct(), "members")
     candidates = settle(merge_postings(postings(texts, word_weights(prof), min_words), cross), "candidates")
     return members, settle(verified_links(texts, members, candidates, min_likeness), "links")
 
@@ -80,16 +80,17 @@ def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: in
     also stands for all of them in pairs with other texts. No link between different texts is lost.
     """
     members, links = find_links(texts, min_words, min_likeness)
-    shared = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    shared = settle(members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
     crowded = shared.where(F.col("n") > EXPANDED).select("cls", "first")
-    ends = members.join(crowded, "cls", "left").where("first is null or id = first").select("cls", "field", "id")
+    few = members.join(shared.where(F.col("n") <= EXPANDED).select("cls"), "cls").select("cls", "field", "id")
+    pairs = few.select("cls", "field", F.col("id").alias("x")).join(few.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("field", "x", "y")
+    ends = members
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(members.join(crowded, "cls").select("field", F.col("first").alias("x"), F.col("id").alias("y")))
+        ends = members.join(crowded, "cls", "left").where("first is null or id = first")
     a = ends.select(F.col("cls").alias("a"), "field", F.col("id").alias("x"))
     b = ends.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    alike = links.join(a, "a").join(b, "b").select("field", "x", "y")
-    few = members.join(shared.where(F.col("n") <= EXPANDED).select("cls"), "cls").select("cls", "field", "id")
-    copies = few.select("cls", "field", F.col("id").alias("x")).join(few.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("field", "x", "y")
-    stars = members.join(crowded, "cls").select("field", F.col("first").alias("x"), F.col("id").alias("y"))
-    pairs = alike.unionByName(copies).unionByName(stars).where("x <> y")
+    pairs = pairs.unionByName(links.join(a, "a").join(b, "b").select("field", "x", "y")).where("x <> y")
     name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
     return pairs.select(name.alias("field_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
