@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle
 from .components import component_labels
 from .signatures import merge_postings, postings, profile, word_weights
-from .words import likeness, words
+from .words import likeness, word_bytes
 
 MIN_WORDS, MIN_LIKENESS = 12, 0.7
 #: Records of one bag of words that are listed in all their pairs; see ``near_duplicate_pairs``.
@@ -49,7 +49,7 @@ def verified_links(texts: DataFrame, members: DataFrame, candidates: DataFrame,
         for batch in batches:
             out: list[tuple] = []
             for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                value = likeness(words(s), words(t))
+                value = likeness(word_bytes(s), word_bytes(t))
                 if value >= min_likeness:
                     out.append((x, y, value))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_LINKS_ARROW)], schema=_LINKS_ARROW)

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
-from .words import WordHashes, bag_hash, signed, words
+from .words import WordHashes, bag_hash, signed, word_bytes
 
 COORDINATES, ROWS, MATCHES = 32, 5, 2
 COMMON_SHARE, LEAST_WEIGHT = 0.05, 0.3
 #: A posting list longer than this is not merged by pairs; see ``merge_postings``.
 LONG_LIST = 256
 #: Word counts kept, texts signed at once, elements whose scores are kept, elements looked up at once.
-_FLUSH, _SLICE, _ELEMENTS, _BLOCK = 200_000, 2_000, 50_000, 16_000
+_FLUSH, _SLICE, _ELEMENTS, _BLOCK = 200_000, 2_000, 50_000, 2_000
 
 _PROFILE = "side int, field int, id string, cls bigint, n_words int, word bigint, n bigint"
 _PROFILE_ARROW = pa.schema([("side", pa.int32()), ("field", pa.int32()), ("id", pa.string()), ("cls", pa.int64()), ("n_words", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
@@ -67,7 +67,7 @@ def profile(texts: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for side, field, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tokens = words(text)
+                tokens = word_bytes(text)
                 if key is None or len(tokens) < min_words:
                     continue
                 for x, value in zip(rows, (side, field, key, bag_hash(tokens, field), len(tokens))):
@@ -107,17 +107,19 @@ class Signer:
         self.tags = _mix(np.arange(coordinates, dtype=np.uint64) + np.uint64((field + 1) << 32))
         self.hashes, self.index = WordHashes(), {}
         self.scores = np.empty((_ELEMENTS, coordinates * rows), np.float32)
+        self.buffer = np.empty((_BLOCK, coordinates * rows), np.float32)
 
-    def _add(self, new: list[tuple[str, int]]) -> None:
+    def _add(self, new: list[tuple[bytes, int]]) -> None:
         base = [self.hashes[w] for w, _ in new]
         h = _mix(np.array(base, dtype=np.uint64) + np.array([o for _, o in new], dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
         weight = np.array([self.weights.get(signed(x), self.rare) for x in base])
-        first = self.index[new[0]]
+        w, o = new[0]
+        first = self.index[w if o == 0 else (w, o)]
         for at in range(0, len(new), 1000):
             u = (_mix(h[at : at + 1000, None] ^ self.seeds[None, :]) >> np.uint64(11)).astype(np.float64)
             self.scores[first + at : first + at + len(u)] = -np.log((u + 1.0) * 2.0**-53) / weight[at : at + 1000, None]
 
-    def sign(self, texts: list[list[str]]) -> np.ndarray:
+    def sign(self, texts: list[list[bytes]]) -> np.ndarray:
         """An array (texts, coordinates) of signed 64-bit values; every text needs at least one word.
 
         Elements go through in blocks of bounded size, so a text of any length takes no more memory.
@@ -126,25 +128,28 @@ class Signer:
         ids: list[int] = []
         starts: list[int] = []
         owners: list[int] = []
-        new: list[tuple[str, int]] = []
+        new: list[tuple[bytes, int]] = []
 
         def flush() -> None:
             if new:
                 self._add(new)
             if ids:
-                part = np.minimum.reduceat(self.scores[np.array(ids)], np.array(starts), axis=0)
+                found = self.buffer[: len(ids)]  # small enough to stay in the processor's cache
+                np.take(self.scores, np.array(ids), axis=0, out=found, mode="clip")
+                part = np.minimum.reduceat(found, np.array(starts), axis=0)
                 at = np.array(owners)
                 low[at] = np.minimum(low[at], part)
             ids.clear(), starts.clear(), owners.clear(), new.clear()
 
+        lookup = self.index.get
         for t, tokens in enumerate(texts):
-            seen: dict[str, int] = {}
+            seen: dict[bytes, int] = {}
             starts.append(len(ids))
             owners.append(t)
             for w in tokens:
                 o = seen.get(w, 0)
                 seen[w] = o + 1
-                k = self.index.get((w, o))
+                k = lookup(w if o == 0 else (w, o))
                 if k is None:
                     if len(self.index) >= len(self.scores):
                         if starts[-1] == len(ids):
@@ -153,7 +158,7 @@ class Signer:
                         self.index.clear()
                         starts.append(0)
                         owners.append(t)
-                    k = self.index[(w, o)] = len(self.index)
+                    k = self.index[w if o == 0 else (w, o)] = len(self.index)
                     new.append((w, o))
                 ids.append(k)
                 if len(ids) >= _BLOCK:
@@ -181,6 +186,7 @@ def postings(texts: DataFrame, weights: dict, min_words: int, coordinates: int =
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signers: dict[int, Signer] = {}
         posted: set[tuple[int, int]] = set()
+        read: set[tuple] = set()  # texts met lately, so that repeated ones are not even split into words
 
         def flush(field: int, todo: list) -> pa.RecordBatch:
             if field not in signers:
@@ -195,8 +201,13 @@ def postings(texts: DataFrame, weights: dict, min_words: int, coordinates: int =
         waiting: dict[int, list] = {}
         for batch in batches:
             for side, field, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tokens = words(text)
-                if key is None or len(tokens) < max(1, min_words):
+                if key is None or (side, field, text) in read:
+                    continue
+                if len(read) >= 5_000:
+                    read.clear()
+                read.add((side, field, text))
+                tokens = word_bytes(text)
+                if len(tokens) < max(1, min_words):
                     continue
                 cls = bag_hash(tokens, field)
                 if (cls, side) in posted:

@@ -5,13 +5,15 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluicebed.llm import near_duplicates, signatures
 from sluicebed.llm.components import component_labels
 from sluicebed.llm.cross_split import cross_split_pairs, overlap_report
 from sluicebed.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, stacked_texts
-from sluicebed.llm.words import likeness, words
+from sluicebed.llm.words import likeness, word_bytes, words
 
 
 def corpus(seed, n=150, length=40, vocabulary=400):
@@ -124,7 +126,7 @@ def test_very_long_texts(spark):
 
 
 def test_signatures_do_not_depend_on_blocks(monkeypatch):
-    texts = [t.split() for t in corpus(7, n=30)]
+    texts = [t.encode().split() for t in corpus(7, n=30)]
     whole = signatures.Signer(0, 6.0, {}, 8, 3).sign(texts)
     monkeypatch.setattr(signatures, "_BLOCK", 7)
     monkeypatch.setattr(signatures, "_ELEMENTS", 45)
@@ -150,3 +152,8 @@ def test_components(spark):
     got = {r.node: r.label for r in component_labels(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: find(x) for x in parent}
     assert component_labels(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+@given(st.text())
+def test_word_bytes(text):
+    assert [w.decode() for w in word_bytes(text)] == words(text)
