@@ -20,7 +20,7 @@ from .signatures import merge_postings, postings, profile, word_weights
 from .words import likeness, word_bytes
 
 MIN_WORDS, MIN_LIKENESS = 12, 0.7
-#: Records of one bag of words that are listed in all their pairs; see ``near_duplicate_pairs``.
+#: Records of one bag of words that are paired at once; see ``near_duplicate_pairs`` and ``member_pairs``.
 EXPANDED = 1000
 
 _LINKS = "a bigint, b bigint, likeness double"
@@ -72,14 +72,43 @@ def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float
     return members, settle(verified_links(texts, members, candidates, min_likeness), "links")
 
 
-def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS) -> DataFrame:
+def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(field, x, y): every pair of ids of one class or of two linked classes, whatever the class sizes.
+
+    A class of more than ``EXPANDED`` records is cut into parts by a hash of the id, and its parts meet
+    each other and those of linked classes one by one, so no task pairs a large class alone.
+    """
+    shared = settle(members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    crowded = shared.where(F.col("n") > EXPANDED).select("cls", F.ceil(F.col("n") / EXPANDED).alias("parts"))
+    cells = links.select("a", "b").unionByName(shared.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    first, second, part = F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    ends = members
+    if not crowded.isEmpty():
+        ends = members.join(crowded, "cls", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), part)
+        cells = cells.join(crowded.select(F.col("cls").alias("a"), F.col("parts").alias("na")), "a", "left").join(crowded.select(F.col("cls").alias("b"), F.col("parts").alias("nb")), "b", "left")
+        cells = cells.select("a", "b", "nb", F.explode(F.sequence(first, F.coalesce("na", F.lit(1)) - 1)).alias("i"))
+        cells = cells.select("a", "b", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.coalesce("nb", F.lit(1)) - 1)).alias("j"))
+        first, second = F.col("i"), F.col("j")
+    cells = cells.select("a", first.alias("i"), "b", second.alias("j"))
+    x = ends.select(F.col("cls").alias("a"), part.alias("i"), "field", F.col("id").alias("x"))
+    y = ends.select(F.col("cls").alias("b"), part.alias("j"), F.col("id").alias("y"))
+    once = F.when((F.col("a") == F.col("b")) & (F.col("i") == F.col("j")), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+    return cells.join(x, ["a", "i"]).join(y, ["b", "j"]).where(once).select("field", "x", "y")
+
+
+def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS, whole: bool = False) -> DataFrame:
     """Every pair of different ids with alike texts in a field: (field_name, id_a, id_b), id_a < id_b.
 
-    A bag of words that more than ``EXPANDED`` records share is not expanded into all pairs, which
-    would be their number squared: each of its records is paired with the smallest id of them, which
-    also stands for all of them in pairs with other texts. No link between different texts is lost.
+    With ``whole`` that holds at every size. Without it, a bag of words that more than ``EXPANDED``
+    records share is not expanded into all pairs, which would be their number squared: each of its
+    records is paired with the smallest id of them, which also stands for all of them in pairs with
+    other texts.
     """
     members, links = find_links(texts, min_words, min_likeness)
+    name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
+    if whole:
+        return member_pairs(members, links).select(name.alias("field_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
     shared = settle(members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
     crowded = shared.where(F.col("n") > EXPANDED).select("cls", "first")
     few = members.join(shared.where(F.col("n") <= EXPANDED).select("cls"), "cls").select("cls", "field", "id")
@@ -91,7 +120,6 @@ def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: in
     a = ends.select(F.col("cls").alias("a"), "field", F.col("id").alias("x"))
     b = ends.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     pairs = pairs.unionByName(links.join(a, "a").join(b, "b").select("field", "x", "y")).where("x <> y")
-    name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
     return pairs.select(name.alias("field_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

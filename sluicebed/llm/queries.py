@@ -64,7 +64,7 @@ def _p4_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_pairs(_p4_texts(spark, d), P4_FIELDS)
+    return near_duplicate_pairs(_p4_texts(spark, d), P4_FIELDS, whole=True)
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:

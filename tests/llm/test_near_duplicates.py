@@ -9,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluicebed.llm import near_duplicates, signatures
+from sluicebed.llm import near_duplicates, queries, signatures
 from sluicebed.llm.components import component_labels
 from sluicebed.llm.cross_split import cross_split_pairs, overlap_report
 from sluicebed.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, stacked_texts
@@ -91,6 +91,16 @@ def test_crowded_copies_are_not_expanded(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in pairs.collect()} == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "n1"), ("c0", "n2"), ("n1", "n2")}
 
 
+def test_p4_found_lists_crowded_classes_whole(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(near_duplicates, "EXPANDED", 3)
+    text, near = "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q"
+    rows = [(f"c{i:02d}", text if i % 2 else "P. " + text[:-2]) for i in range(11)] + [(f"n{i}", near) for i in range(5)] + [("y", near[:-1] + "s"), ("z", "r s t u v w x y z aa bb cc dd"), ("c03", near)]
+    spark.createDataFrame(rows, "id string, candidate_message string").write.parquet(f"{tmp_path}/v1_b.parquet")
+    spark.createDataFrame([], "id string, leaky_candidate string, safe_rewrite string").write.parquet(f"{tmp_path}/human_boundary.parquet")
+    got = [(r.field_name, r.id_a, r.id_b) for r in queries.p4_found(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(("v1_b.candidate_message", a, b) for a, b in brute(rows))
+
+
 def test_cross_split(spark):
     texts = corpus(5, n=120)
     test, train = [(f"t{i:03d}", t) for i, t in enumerate(texts[::2])], [(f"b{i:03d}", t) for i, t in enumerate(texts[1::2])]
