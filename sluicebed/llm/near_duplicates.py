@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
 from .components import component_labels
-from .signatures import merge_postings, postings, profile, word_weights
+from .signatures import classes, merge_postings, postings
 from .words import likeness, word_bytes
 
 MIN_WORDS, MIN_LIKENESS = 12, 0.7
@@ -66,9 +66,8 @@ def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float
     short texts belong to no class; repeated rows count once; an empty table gives empty results. Two
     64-bit class ids could coincide by chance: about once in 10^4 collections of 10^8 distinct texts.
     """
-    prof = profile(texts, min_words)
-    members = settle(prof.where("id is not null").select("side", "field", "id", "cls").distinct(), "members")
-    candidates = settle(merge_postings(postings(texts, word_weights(prof), min_words), cross), "candidates")
+    members = settle(classes(texts, min_words).distinct(), "members")
+    candidates = settle(merge_postings(postings(texts, min_words), cross), "candidates")
     return members, settle(verified_links(texts, members, candidates, min_likeness), "links")
 
 

@@ -1,18 +1,14 @@
-"""Weighted minwise signatures of word bags and the merging of their posting lists.
-
-Each text is the set of its (word, occurrence) elements. A coordinate of its signature is a hash of
-``rows`` minwise values; an element's chance to be the minimum grows with the word's rarity, so that
-words which stand in most texts of the collection hardly ever make two unlike texts collide. The
-weights come from the document frequencies over *all* texts of the same field and lie between
-``LEAST_WEIGHT`` and 3, so that edits of rare words cannot outweigh the many words two texts share.
-Only words that stand in more than ``COMMON_SHARE`` of the texts need a weight of their own, which
-bounds the table that goes to the executors by (mean distinct words of a text) / ``COMMON_SHARE``
-entries, whatever the number of texts.
+"""Minwise signatures of word bags and the merging of their posting lists.
+
+Each text is the set of its (word, occurrence) elements, all of the same weight, so that the chance
+to find a pair follows from its likeness alone, however many texts of the collection share its words.
+A coordinate of a signature is a hash of ``rows`` minwise values. The coordinates draw on a common
+stock of ``BASES`` minwise values, each coordinate on different ones, as most of the work is in these.
+README.md has the measured recall.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,15 +19,16 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle
 from .words import WordHashes, bag_hash, signed, word_bytes
 
-COORDINATES, ROWS, MATCHES = 32, 5, 2
-COMMON_SHARE, LEAST_WEIGHT = 0.05, 0.3
+COORDINATES, ROWS, MATCHES = 70, 7, 2
+#: Minwise values computed of a text, unless its coordinates need fewer.
+BASES = 224
 #: A posting list longer than this is not merged by pairs; see ``merge_postings``.
 LONG_LIST = 256
-#: Word counts kept, texts signed at once, elements whose scores are kept, elements looked up at once.
-_FLUSH, _SLICE, _ELEMENTS, _BLOCK = 200_000, 2_000, 50_000, 2_000
+#: Texts signed at once, elements whose scores are kept, elements looked up at once.
+_SLICE, _ELEMENTS, _BLOCK = 2_000, 50_000, 2_000
 
-_PROFILE = "side int, field int, id string, cls bigint, n_words int, word bigint, n bigint"
-_PROFILE_ARROW = pa.schema([("side", pa.int32()), ("field", pa.int32()), ("id", pa.string()), ("cls", pa.int64()), ("n_words", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
+_MEMBER = "side int, field int, id string, cls bigint"
+_MEMBER_ARROW = pa.schema([("side", pa.int32()), ("field", pa.int32()), ("id", pa.string()), ("cls", pa.int64())])
 _POSTING = "v bigint, cls bigint, side int"
 _POSTING_ARROW = pa.schema([("v", pa.int64()), ("cls", pa.int64()), ("side", pa.int32())])
 _MERGED = "kind int, a bigint, b bigint"
@@ -44,58 +41,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def profile(texts: DataFrame, min_words: int) -> DataFrame:
-    """One scan of ``texts`` (side, field, id, text): a row per text and partial word counts.
+def classes(texts: DataFrame, min_words: int) -> DataFrame:
+    """(side, field, id, cls) of a scan of ``texts`` (side, field, id, text).
 
-    Rows with ``id`` set give the class of a text (equal bags of words of a field are one class);
-    rows with ``id`` null give how many texts of a field hold a word. Texts under ``min_words`` words
-    and null ids are left out. The result is written to the shared folder, as several steps read it.
+    Equal bags of words of a field are one class. Texts under ``min_words`` words and null ids are left out.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), {}
-
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            out = pa.RecordBatch.from_pydict(
-                {"side": [0] * len(keys), "field": [k[0] for k in keys], "id": [None] * len(keys), "cls": [None] * len(keys), "n_words": [None] * len(keys), "word": [signed(k[1]) for k in keys], "n": [counts[k] for k in keys]},
-                schema=_PROFILE_ARROW,
-            )
-            counts.clear()
-            return out
-
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], []]
             for side, field, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tokens = word_bytes(text)
                 if key is None or len(tokens) < min_words:
                     continue
-                for x, value in zip(rows, (side, field, key, bag_hash(tokens, field), len(tokens))):
+                for x, value in zip(rows, (side, field, key, bag_hash(tokens, field))):
                     x.append(value)
-                for w in set(tokens):
-                    k = (field, hashes[w])
-                    counts[k] = counts.get(k, 0) + 1
-            n = len(rows[0])
-            yield pa.RecordBatch.from_pydict(dict(zip(("side", "field", "id", "cls", "n_words"), rows)) | {"word": [None] * n, "n": [None] * n}, schema=_PROFILE_ARROW)
-            if len(counts) > _FLUSH:
-                yield flush()
-        if counts:
-            yield flush()
-
-    return settle(texts.select("side", "field", "id", "text").mapInArrow(scan, _PROFILE), "profile")
-
-
-def word_weights(prof: DataFrame) -> dict[int, tuple[float, dict[int, float]]]:
-    """Per field, the weight of a rare word and the weights of the words that are not rare."""
-    sizes = {r.field: r.n for r in prof.where("id is not null").groupBy("field").agg(F.count("*").alias("n")).collect()}
-    limit = F.lit(None).cast("double")
-    for field, n in sizes.items():
-        limit = F.when(F.col("field") == field, F.lit(n * COMMON_SHARE)).otherwise(limit)
-    common = prof.where("id is null").groupBy("field", "word").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-    out: dict[int, tuple[float, dict[int, float]]] = {f: (-math.log(COMMON_SHARE), {}) for f in sizes}
-    for r in common.collect():
-        out[r.field][1][r.word] = min(-math.log(COMMON_SHARE), max(LEAST_WEIGHT, math.log((sizes[r.field] + 1) / r.n)))
-    return out
+            yield pa.RecordBatch.from_pydict(dict(zip(_MEMBER_ARROW.names, rows)), schema=_MEMBER_ARROW)
+
+    return texts.select("side", "field", "id", "text").mapInArrow(scan, _MEMBER)
+
+
+def _picked(coordinates: int, rows: int) -> np.ndarray:
+    """(coordinates, rows): the minwise values that each coordinate is made of, all of a row different."""
+    if coordinates * rows <= BASES:
+        return np.arange(coordinates * rows).reshape(coordinates, rows)
+    each = BASES // rows
+    shuffles = [np.argsort(_mix(np.arange(BASES, dtype=np.uint64) + np.uint64((k + 1) << 20)), kind="stable") for k in range(-(-coordinates // each))]
+    return np.concatenate([x[: each * rows].reshape(each, rows) for x in shuffles])[:coordinates]
 
 
 class Signer:
@@ -103,11 +75,13 @@ class Signer:
 
     def __init__(self, field: int, rare: float, weights: dict[int, float], coordinates: int, rows: int):
         self.rare, self.weights, self.m, self.r = rare, weights, coordinates, rows
-        self.seeds = _mix(np.arange(1, coordinates * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.picked = _picked(coordinates, rows)
+        self.bases = int(self.picked.max()) + 1
+        self.seeds = _mix(np.arange(1, self.bases + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.tags = _mix(np.arange(coordinates, dtype=np.uint64) + np.uint64((field + 1) << 32))
         self.hashes, self.index = WordHashes(), {}
-        self.scores = np.empty((_ELEMENTS, coordinates * rows), np.float32)
-        self.buffer = np.empty((_BLOCK, coordinates * rows), np.float32)
+        self.scores = np.empty((_ELEMENTS, self.bases), np.float32)
+        self.buffer = np.empty((_BLOCK, self.bases), np.float32)
 
     def _add(self, new: list[tuple[bytes, int]]) -> None:
         base = [self.hashes[w] for w, _ in new]
@@ -124,7 +98,7 @@ class Signer:
 
         Elements go through in blocks of bounded size, so a text of any length takes no more memory.
         """
-        low = np.full((len(texts), self.m * self.r), np.inf, np.float32)
+        low = np.full((len(texts), self.bases), np.inf, np.float32)
         ids: list[int] = []
         starts: list[int] = []
         owners: list[int] = []
@@ -169,20 +143,18 @@ class Signer:
                 starts.pop(), owners.pop()
         flush()
         value = np.broadcast_to(self.tags, (len(texts), self.m)).copy()
-        bits = low.view(np.uint32).astype(np.uint64).reshape(len(texts), self.m, self.r)
+        bits = low.view(np.uint32).astype(np.uint64)
         for j in range(self.r):
-            value = _mix(value ^ bits[:, :, j])
+            value = _mix(value ^ bits[:, self.picked[:, j]])
         return value.view(np.int64)
 
 
-def postings(texts: DataFrame, weights: dict, min_words: int, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+def postings(texts: DataFrame, min_words: int, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
     """Post the class of every text under each of its coordinate values: (v, cls, side).
 
     Copies are posted once per partition, so a text that fills a third of the collection reaches a
     posting list at most as often as there are partitions.
     """
-    spread = texts.sparkSession.sparkContext.broadcast(weights)
-
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signers: dict[int, Signer] = {}
         posted: set[tuple[int, int]] = set()
@@ -190,8 +162,7 @@ def postings(texts: DataFrame, weights: dict, min_words: int, coordinates: int =
 
         def flush(field: int, todo: list) -> pa.RecordBatch:
             if field not in signers:
-                rare, own = spread.value.get(field, (1.0, {}))
-                signers[field] = Signer(field, rare, own, coordinates, rows)
+                signers[field] = Signer(field, 1.0, {}, coordinates, rows)
             values = signers[field].sign([x[0] for x in todo])
             return pa.RecordBatch.from_arrays(
                 [pa.array(values.ravel()), pa.array(np.repeat(np.array([x[1] for x in todo], np.int64), coordinates)), pa.array(np.repeat(np.array([x[2] for x in todo], np.int32), coordinates))],

@@ -101,6 +101,19 @@ def test_p4_found_lists_crowded_classes_whole(spark, monkeypatch, tmp_path):
     assert sorted(got) == sorted(("v1_b.candidate_message", a, b) for a, b in brute(rows))
 
 
+def test_group_of_a_third_of_the_rows_keeps_its_pairs(spark):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(f"o{i:03d}", " ".join(f"w{rng.randrange(3000)}" for _ in range(40))) for i in range(120)]
+    for i in range(60):
+        t = base[:]
+        for k in rng.sample(range(40), 3):
+            t[k] = f"x{rng.randrange(100_000)}"
+        rows.append((f"g{i:03d}", " ".join(t)))
+    texts = stacked_texts([(0, 0, spark.createDataFrame(rows, "id string, text string"), "id", "text")])
+    check_recall({(r.id_a, r.id_b) for r in near_duplicate_pairs(texts, ["f"]).collect()}, rows)
+
+
 def test_cross_split(spark):
     texts = corpus(5, n=120)
     test, train = [(f"t{i:03d}", t) for i, t in enumerate(texts[::2])], [(f"b{i:03d}", t) for i, t in enumerate(texts[1::2])]
