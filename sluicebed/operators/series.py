@@ -57,3 +57,12 @@ def previous_values(df: DataFrame, by: list[str], order: list, value: str, n: in
     joined = pos.join(lists, [*by, "pos"], "left")
     empty = F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")
     return joined.withColumn(name, F.coalesce(F.transform("_h", lambda x: x["_v"]), empty)).drop("_h", "pos")
+
+
+def running_prefix(df: DataFrame, by: list[str], order: list, value: str, name: str = "history") -> DataFrame:
+    """Adds all values before each row of its series, oldest first, as an array.
+
+    The result holds every series once per row of it, so a series must fit a task.
+    """
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.collect_list(F.struct(F.col(value).alias("_v"))).over(window)).withColumn(name, F.transform(name, lambda x: x["_v"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import sampling as S
-from ..operators.series import previous_values, reset_runs
+from ..operators.series import previous_values, reset_runs, running_prefix
 from ..session import table
 from .catalog import query, sql_hash
 from .text_queries import FEATURES_SQL, _REC, _records, features
@@ -103,6 +103,14 @@ def history_prefixes(spark, d):
     return h.select("user_id", "event_id", F.nullif(F.array_join("history", " "), F.lit("")).alias("history"))
 
 
+@query("SELECT user_id, event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' ') AS history FROM events")
+def whole_histories(spark, d):
+    """All events before each event."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    h = running_prefix(e, ["user_id"], [c("ts"), c("event_id")], "event_type")
+    return h.select("user_id", "event_id", F.nullif(F.array_join("history", " "), F.lit("")).alias("history"))
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents")
 def ordinals(spark, d):
     return S.ordered_positions(table(spark, d, "documents").select("doc_id"), [c("doc_id")], "n")

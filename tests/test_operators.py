@@ -192,3 +192,12 @@ def test_series_over_blocks(spark, monkeypatch):
         want[(k, t)] = run
     assert {(r.k, r.t): r.run for r in got} == want
     assert series.reset_runs(spark.createDataFrame([], "k string, t int, v int"), ["k"], [F.col("t")], "v").count() == 0
+
+
+def test_running_prefix_is_whole(spark):
+    from sluicebed.operators import series
+
+    df = spark.createDataFrame([("a", i, None if i == 3 else f"v{i}") for i in range(9)] + [("b", 1, "x")], "k string, i int, v string")
+    got = {(r.k, r.i): r.history for r in series.running_prefix(df, ["k"], [F.col("i")], "v").collect()}
+    values = [None if i == 3 else f"v{i}" for i in range(9)]
+    assert got == {("a", i): values[:i] for i in range(9)} | {("b", 1): []}
