@@ -117,6 +117,17 @@ def prefix_classes(spark, d):
     return rows.join(known, "k", "left").select("id", kind.alias("kind"))
 
 
+@query(f"SELECT DISTINCT id, CASE WHEN id LIKE '%-Novice' THEN 'novice' WHEN {_CONV} <> '' AND EXISTS (SELECT 1 FROM human_boundary h WHERE starts_with({_CONV.replace('(id', '(h.id')}, {_CONV.replace('(id', '(v1_b.id')})) THEN 'prefix' ELSE 'other' END AS kind FROM v1_b")
+def conversation_prefix_classes(spark, d):
+    """The conversation of an id, whole, against every prefix of the known conversations."""
+    conv = T.conversation_of(c("id"))
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("conv")), lambda n: F.substring(c("conv"), F.lit(1), n)))
+    known = table(spark, d, "human_boundary").select(conv.alias("conv")).where("conv <> ''").distinct().select(prefixes.alias("k")).distinct().withColumn("known", F.lit(True))
+    rows = table(spark, d, "v1_b").select("id", F.nullif(conv, F.lit("")).alias("k")).distinct()
+    kind = F.when(F.endswith("id", F.lit("-Novice")), "novice").when(F.coalesce("known", F.lit(False)), "prefix").otherwise("other")
+    return rows.join(known, "k", "left").select("id", kind.alias("kind"))
+
+
 @query(f"""WITH m AS (SELECT DISTINCT id, {_CONV} AS conv, verdict, id LIKE '%-Expert' AS expert FROM v1_b WHERE {_CONV} <> ''),
 p AS (SELECT a.id, b.id AS sib, row_number() OVER (PARTITION BY a.id ORDER BY b.expert DESC, b.id) AS rn FROM m a JOIN m b ON a.conv = b.conv AND a.id <> b.id AND b.verdict = 'adequate')
 SELECT m.id, p.sib AS sibling FROM m LEFT JOIN p ON p.id = m.id AND rn = 1""")

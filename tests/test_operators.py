@@ -201,3 +201,13 @@ def test_running_prefix_is_whole(spark):
     got = {(r.k, r.i): r.history for r in series.running_prefix(df, ["k"], [F.col("i")], "v").collect()}
     values = [None if i == 3 else f"v{i}" for i in range(9)]
     assert got == {("a", i): values[:i] for i in range(9)} | {("b", 1): []}
+
+
+def test_prefix_classes_by_the_whole_conversation(spark, tmp_path):
+    from sluicebed.plans.join_queries import conversation_prefix_classes
+
+    known = ["mrb-1180-90f-Gemini", "mrb-0005446-Mistral", "junk-a-1"]
+    ids = {"mrb-1180-90f-Phi": "prefix", "mrb-1180-9-Phi": "prefix", "mrb-1180-777-Phi": "other", "mrb-0005-Phi": "prefix", "mrb-0005447-Phi": "other", "mrb-0005446x-Phi": "other", "mrb-0005446-Novice": "novice", "junk-a-1": "other"}
+    spark.createDataFrame([(x,) for x in known], "id string").write.parquet(f"{tmp_path}/human_boundary.parquet")
+    spark.createDataFrame([(x,) for x in ids] * 2, "id string").write.parquet(f"{tmp_path}/v1_b.parquet")
+    assert sorted(map(tuple, conversation_prefix_classes(spark, str(tmp_path)).collect())) == sorted(ids.items())
