@@ -187,6 +187,29 @@ def accept_decision(spark, d):
     return ci.select((c("low") > 0).alias("improved"), (c("high") < 0).alias("regressed"), ((c("low") > 0) & ~(c("high") < 0)).alias("accepted"))
 
 
+#: Resamples of SURVEY A22 and A23, too many for a statement; tests compare the operator with brute force at small numbers.
+REPORT_B, LOOP_B = 4000, 2000
+
+
+@query()
+def report_bootstrap_ci(spark, d):
+    p = predictions(spark, d).where("model = 'm1'")
+    counts = p.groupBy(F.coalesce((c("pred") == c("gold")).cast("int"), F.lit(0)).alias("v")).agg(F.count("*").alias("n"))
+    return M.bootstrap_interval(counts, "v", REPORT_B, "0")
+
+
+@query()
+def loop_paired_bootstrap(spark, d):
+    return M.bootstrap_interval(_diff_counts(spark, d), "v", LOOP_B, "0")
+
+
+@query()
+def loop_accept_decision(spark, d):
+    """The decision of ``accept_decision`` over the resamples of A23."""
+    ci = M.bootstrap_interval(_diff_counts(spark, d), "v", LOOP_B, "0")
+    return ci.select((c("low") > 0).alias("improved"), (c("high") < 0).alias("regressed"), ((c("low") > 0) & ~(c("high") < 0)).alias("accepted"))
+
+
 @query(f"WITH {_REC}, f AS (SELECT {FEATURES_SQL} FROM r) SELECT band, topic, count(*) AS n FROM f GROUP BY ALL HAVING count(*) < 30")
 def thin_cells(spark, d):
     return features(_records(spark, d)).groupBy("band", "topic").agg(F.count("*").alias("n")).where("n < 30")

@@ -211,3 +211,23 @@ def test_prefix_classes_by_the_whole_conversation(spark, tmp_path):
     spark.createDataFrame([(x,) for x in known], "id string").write.parquet(f"{tmp_path}/human_boundary.parquet")
     spark.createDataFrame([(x,) for x in ids] * 2, "id string").write.parquet(f"{tmp_path}/v1_b.parquet")
     assert sorted(map(tuple, conversation_prefix_classes(spark, str(tmp_path)).collect())) == sorted(ids.items())
+
+
+def test_bootstraps_take_the_resamples_of_the_survey(spark, monkeypatch):
+    from sluicebed.plans import metric_queries as Q
+
+    asked, interval = [], metrics.bootstrap_interval
+    monkeypatch.setattr(Q.M, "bootstrap_interval", lambda counts, value, b, seed: asked.append(b) or interval(counts, value, 7, seed))
+    for f in (Q.report_bootstrap_ci, Q.loop_paired_bootstrap, Q.loop_accept_decision):
+        f(spark, "/root/testdata/sf0.001")
+    assert asked == [4000, 2000, 2000]
+
+
+def test_bootstrap_equals_brute_force(spark):
+    from hashlib import md5
+
+    counts, b = {0.0: 5, 1.0: 9, 2.0: 3}, 60
+    values = [v for v, n in sorted(counts.items()) for _ in range(n)]
+    means = sorted(sum(values[int(md5(f"s-{i}-{j}".encode()).hexdigest()[:8], 16) % 17] for j in range(1, 18)) / 17 for i in range(b))
+    got = metrics.bootstrap_interval(spark.createDataFrame(list(counts.items()), "v double, n bigint"), "v", b, "s").first()
+    assert (got.mean, got.low, got.high, got.n) == (sum(values) / 17, means[int(0.025 * b)], means[int(0.975 * b)], 17)
