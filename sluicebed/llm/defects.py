@@ -39,8 +39,11 @@ _KEEPS_ANSWER = re.compile(rf"\b(?:give|giving|provide|offer|say)\b[^.?!]{{0,20}
 #: Grounds and referrals that go with declining; one ground or two referrals are enough.
 _GROUNDS = re.compile(r"\b(?:guidelines?|polic(?:y|ies)|rules?|terms|instructions)\b[^.?!]{0,60}\b(?:not (?:allow|permit)|n['’]t (?:allow|permit)|forbid|prohibit|prevent)|\b(?:outside|beyond|not (?:part of|within)) (?:of )?(?:my|our) (?:role|remit|scope|job|task|competence|purview|abilities|capabilities)|\bbeyond what (?:i|we) (?:may|can|could|am|are)\b|\black the (?:information|knowledge|context|authority)\b[^.?!]{0,60}\bto do (?:so|that|this)|\brisk in discussing\b")
 _REFERRALS = re.compile(r"\bplease (?:ask|contact|consult|see|turn to|speak (?:to|with))\b[^.?!]{0,60}\binstead\b|\byou (?:may|can|could|might) (?:contact|ask|consult)\b[^.?!]{0,60}\bfor help\b|\bperhaps (?:a|an|another|your) (?:teacher|adult|parent|tutor)\b")
-#: What a declining text cannot do without, in lower case; looked for before the grammar is tried.
-_HINTS = ("not ", "n't", "n’t", "cant ", "wont ", "never", "unable", "unwilling", "declin", "refus", "refrain", "abstain", "pass", "skip", "avoid", "comfortable", "appropriate", "improper", "barred", "forbid", "prohibit", "impossible", "reluctant", "hesitant", "outside", "beyond", "against", "rather leave", "sit this", "no comment", "count me out", "risk in")
+#: What a declining text cannot do without, in lower case; looked for before the grammar is tried. Every
+#: branch of the grammar needs one of these single words or all words of one of the sets. Words stay whole when
+#: quotations and white space are taken out, phrases may only then come about.
+_HINTS = ("not", "n't", "n’t", "cant", "wont", "never", "unable", "unwilling", "declin", "refus", "refrain", "abstain", "pass", "skip", "avoid", "comfortable", "appropriate", "improper", "barred", "forbid", "prohibit", "prevent", "impossible", "reluctant", "hesitant", "outside", "beyond", "against", "comment", "lack", "discussing", "perhaps")
+_HINT_SETS = (("rather", "leave"), ("sit", "this"), ("count", "me", "out"), ("please", "instead"), ("you", "for", "help", "contact"), ("you", "for", "help", "ask"), ("you", "for", "help", "consult"))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _QUOTED = re.compile(r"(?<!\w)(?:'(?:[^'\n]|(?<=\w)'(?=\w)){2,400}?'(?!\w)|‘[^’\n]{2,400}’|\"[^\"\n]{2,400}\"|“[^”\n]{2,400}”)")
 
@@ -133,11 +136,18 @@ def copied_share(a: list[str], b: list[str]) -> float:
     return tiled_words(a, b, min(SHORTEST_TILE, shorter)) / longer
 
 
+def may_decline(low: str) -> bool:
+    """Whether a lower-case text holds what any branch of the grammar needs."""
+    return any(h in low for h in _HINTS) or any(all(h in low for h in words) for words in _HINT_SETS)
+
+
 def declines(text: str) -> bool:
     """Whether the text, quotations aside, declines its task."""
     low = text.lower()
-    if not any(h in low for h in _HINTS):
-        return False
+    return may_decline(low) and _grammar_declines(low)
+
+
+def _grammar_declines(low: str) -> bool:
     low = _SPACE.sub(" ", _QUOTED.sub(" ", low.strip().strip("\"“”")))
     if _SET_PHRASES.search(low) or _GROUNDS.search(low) or len(_REFERRALS.findall(low)) > 1:
         return True

@@ -179,3 +179,21 @@ def test_pieces_table(spark):
     assert split_oversized(df.limit(0), "doc_id", "body", 100, 10).count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "doc_id", "body", 10, 10)
+
+
+UNWILLING = "don't|don’t|not|cant|wont|never|cannot|unable to|unwilling to|declining to|refusing to|refraining to|abstaining to|pass on|skipping|avoiding|uncomfortable to|inappropriate to|improper to|barred|forbidden|prohibited|impossible to|reluctant to|hesitant to|outside|beyond|against|rather leave|sit this".split("|")
+DECLINING = [f"For me it is {x}, to help." for x in UNWILLING] + [
+    "No comment.", "I refuse.", "I must decline.", "I may pass on.", "I abstain.", "As an AI I cannot.", "As a language model I am unable.", "Count me out.", "I'll pass.",
+    *(f"The guidelines {x} it." for x in ("do not allow", "may not permit", "forbid", "prohibit", "prevent")),
+    "That is outside my role.", "It is beyond our scope.", "This is not part of my job.", "It is beyond what I may say.", "I lack the knowledge here to do so.", "There is risk in discussing it.",
+    "Please ask a teacher instead. You may contact support for help.", "Perhaps a teacher knows. Perhaps another tutor knows.", "You can ask them for help. You might consult her for help.", "Please see your book instead. Please turn to her instead.",
+]
+
+
+@pytest.mark.parametrize("text", DECLINING)
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", "  ", ' "so it is" '])
+def test_no_branch_of_the_grammar_fires_without_a_hint(text, gap):
+    assert D.declines(text)
+    spread = text.replace(" ", gap).lower()
+    assert D.may_decline(spread) or not D._grammar_declines(spread)
+    assert D.declines(spread) == D._grammar_declines(spread)
