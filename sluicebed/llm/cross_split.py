@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_duplicates import MIN_LIKENESS, MIN_WORDS, find_links
+from .near_duplicates import MIN_LIKENESS, MIN_WORDS, find_links, member_pairs
 
 
 def cross_split_pairs(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS) -> DataFrame:
@@ -20,12 +20,11 @@ def cross_split_pairs(texts: DataFrame, field_names: list[str], min_words: int =
     Null ids and texts under ``min_words`` words match nothing; repeated rows count once.
     """
     members, links = find_links(texts, min_words, min_likeness, cross=True)
-    test = members.where("side = 0").select(F.col("cls").alias("a"), "field", F.col("id").alias("test_id"))
-    train = members.where("side = 1").select(F.col("cls").alias("b"), F.col("id").alias("train_id"))
-    alike = links.join(test, "a").join(train, "b").select("test_id", "train_id", "field")
-    copies = test.join(train, F.col("a") == F.col("b")).select("test_id", "train_id", "field")
+    test, train = members.where("side = 0"), members.where("side = 1")
+    equal = test.select("cls").intersect(train.select("cls")).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    cells = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(equal)
     name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
-    return alike.unionByName(copies).select("test_id", "train_id", name.alias("field_name")).distinct()
+    return member_pairs(cells, test, train, False).select(F.col("x").alias("test_id"), F.col("y").alias("train_id"), name.alias("field_name")).distinct()
 
 
 def overlap_report(pairs: DataFrame, splits: DataFrame) -> DataFrame:

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import settle
+from ..plans.lineage import release, settle
 from .components import component_labels
-from .signatures import classes, merge_postings, postings
+from .signatures import class_texts, keyed_texts, long_list_pairs, matched, merge_lists, merge_postings, postings
 from .words import likeness, word_bytes
 
 MIN_WORDS, MIN_LIKENESS = 12, 0.7
-#: Records of one bag of words that are paired at once; see ``near_duplicate_pairs`` and ``member_pairs``.
-EXPANDED = 1000
+#: Records of one class that are paired at once; see ``member_pairs``.
+PART = 1000
 
 _LINKS = "a bigint, b bigint, likeness double"
 _LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
@@ -32,24 +32,26 @@ def stacked_texts(sources: list[tuple[int, int, DataFrame, str, str]]) -> DataFr
     return reduce(DataFrame.unionByName, [df.select(F.lit(side).alias("side"), F.lit(field).alias("field"), F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")) for side, field, df, key, text in sources])
 
 
-def verified_links(texts: DataFrame, members: DataFrame, candidates: DataFrame, min_likeness: float) -> DataFrame:
-    """Candidates (a, b) whose texts really have the likeness: (a, b, likeness).
-
-    Only the texts of candidate classes move: one record stands for each class, its text is fetched
-    once and joined to both ends of the pairs.
-    """
-    wanted = candidates.select(F.col("a").alias("cls")).unionByName(candidates.select(F.col("b").alias("cls"))).distinct()
-    one = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("side", "field", "id")).alias("k")).select("cls", "k.*")
-    fetched = texts.join(one, ["side", "field", "id"]).groupBy("cls").agg(F.min("text").alias("text"))
-    fetched = settle(fetched, "texts")
-    a = fetched.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    b = fetched.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
+def verified_links(texts: DataFrame, candidates: DataFrame, min_likeness: float) -> DataFrame:
+    """Candidates (a, b) whose texts, those of ``texts`` (cls, text), have the likeness: (a, b, likeness)."""
+    a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split: dict[str, list[bytes]] = {}
+
+        def tokens(text: str) -> list[bytes]:
+            if len(split) >= 2_000:
+                split.clear()
+            found = split.get(text)
+            if found is None:
+                found = split[text] = word_bytes(text)
+            return found
+
         for batch in batches:
             out: list[tuple] = []
             for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                value = likeness(word_bytes(s), word_bytes(t))
+                value = likeness(tokens(s), tokens(t))
                 if value >= min_likeness:
                     out.append((x, y, value))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_LINKS_ARROW)], schema=_LINKS_ARROW)
@@ -57,84 +59,104 @@ def verified_links(texts: DataFrame, members: DataFrame, candidates: DataFrame,
     return candidates.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(scan, _LINKS)
 
 
-def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS, cross: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of a table (side, field, id, text).
+def read_classes(texts: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(members, classes) of a table (side, field, id, text).
 
     ``members`` (side, field, id, cls) gives the class of every text with at least ``min_words`` words;
-    texts with the same bag of words in the same field share a class. ``links`` (a, b, likeness) are
-    the pairs of *different* classes of one field with at least ``min_likeness``. Null ids, null and
-    short texts belong to no class; repeated rows count once; an empty table gives empty results. Two
-    64-bit class ids could coincide by chance: about once in 10^4 collections of 10^8 distinct texts.
+    texts with the same bag of words in the same field share a class. ``classes`` (cls, field, sides,
+    text) has one text of each. Null ids, null and short texts belong to no class; repeated rows count
+    once; an empty table gives empty results. Two 64-bit class ids could coincide by chance: about once
+    in 10^4 collections of 10^8 distinct texts.
     """
-    members = settle(classes(texts, min_words).distinct(), "members")
-    candidates = settle(merge_postings(postings(texts, min_words), cross), "candidates")
-    return members, settle(verified_links(texts, members, candidates, min_likeness), "links")
-
+    keyed = settle(keyed_texts(texts, min_words), "keyed")
+    classes, members = settle(class_texts(keyed), "classes"), settle(keyed.select("side", "field", "id", "cls").distinct(), "members")
+    release(keyed)
+    return members, classes
 
-def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(field, x, y): every pair of ids of one class or of two linked classes, whatever the class sizes.
 
-    A class of more than ``EXPANDED`` records is cut into parts by a hash of the id, and its parts meet
-    each other and those of linked classes one by one, so no task pairs a large class alone.
+def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS, cross: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the classes of ``read_classes`` and (a, b, likeness) of different classes of one
+    field with at least ``min_likeness``, a < b; with ``cross`` only if a record of side 0 and one of
+    side 1 are linked by it."""
+    members, classes = read_classes(texts, min_words)
+    candidates = settle(merge_postings(postings(classes), cross, min_likeness), "candidates")
+    links = settle(verified_links(classes, candidates, min_likeness), "links")
+    release(candidates)
+    release(classes)
+    return members, links
+
+
+def member_pairs(cells: DataFrame, left: DataFrame, right: DataFrame, one_table: bool) -> DataFrame:
+    """(field, x, y): every pair of an id of class a of ``left`` and one of class b of ``right``, (a, b) in ``cells``.
+
+    With ``one_table`` both are the same records, and ``cells`` has every pair of classes in one order
+    only; then each pair of ids comes out once, and none of an id with itself. A class of more than
+    ``PART`` records is cut into parts by a hash of the id and the parts meet one by one, so no task
+    pairs a large class alone.
     """
-    shared = settle(members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    crowded = shared.where(F.col("n") > EXPANDED).select("cls", F.ceil(F.col("n") / EXPANDED).alias("parts"))
-    cells = links.select("a", "b").unionByName(shared.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    first, second, part = F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    ends = members
-    if not crowded.isEmpty():
-        ends = members.join(crowded, "cls", "left")
-        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), part)
-        cells = cells.join(crowded.select(F.col("cls").alias("a"), F.col("parts").alias("na")), "a", "left").join(crowded.select(F.col("cls").alias("b"), F.col("parts").alias("nb")), "b", "left")
-        cells = cells.select("a", "b", "nb", F.explode(F.sequence(first, F.coalesce("na", F.lit(1)) - 1)).alias("i"))
-        cells = cells.select("a", "b", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.coalesce("nb", F.lit(1)) - 1)).alias("j"))
-        first, second = F.col("i"), F.col("j")
-    cells = cells.select("a", first.alias("i"), "b", second.alias("j"))
-    x = ends.select(F.col("cls").alias("a"), part.alias("i"), "field", F.col("id").alias("x"))
-    y = ends.select(F.col("cls").alias("b"), part.alias("j"), F.col("id").alias("y"))
-    once = F.when((F.col("a") == F.col("b")) & (F.col("i") == F.col("j")), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
-    return cells.join(x, ["a", "i"]).join(y, ["b", "j"]).where(once).select("field", "x", "y")
-
-
-def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS, whole: bool = False) -> DataFrame:
+
+    def cut(members: DataFrame, cls: str, n: str) -> DataFrame:
+        return members.groupBy(F.col("cls").alias(cls)).agg(F.count("*").alias(n)).where(F.col(n) > PART).select(cls, F.ceil(F.col(n) / PART).alias(n))
+
+    parts_a, parts_b = settle(cut(left, "a", "na"), "parts"), settle(cut(right, "b", "nb"), "parts")
+    if parts_a.isEmpty() and parts_b.isEmpty():
+        cells = cells.select("a", "b").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint")})
+        one, two = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    else:
+        cells = cells.select("a", "b").join(parts_a, "a", "left").join(parts_b, "b", "left").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("na", F.lit(1)) - 1)))
+        from_ = F.when((F.col("a") == F.col("b")) & F.lit(one_table), F.col("i")).otherwise(0)
+        cells = cells.withColumn("j", F.explode(F.sequence(from_, F.coalesce("nb", F.lit(1)) - 1))).select("a", "b", "i", "j")
+        one, two = (F.coalesce(F.pmod(F.xxhash64("id"), F.col(n)), F.lit(0).cast("bigint")) for n in ("na", "nb"))
+        left, right = left.withColumn("a", F.col("cls")).join(parts_a, "a", "left"), right.withColumn("b", F.col("cls")).join(parts_b, "b", "left")
+    x = left.select(F.col("cls").alias("a"), one.alias("i"), "field", F.col("id").alias("x"))
+    y = right.select(F.col("cls").alias("b"), two.alias("j"), F.col("id").alias("y"))
+    pairs = cells.join(x, ["a", "i"]).join(y, ["b", "j"])
+    if one_table:
+        pairs = pairs.where(F.when((F.col("a") == F.col("b")) & (F.col("i") == F.col("j")), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return pairs.select("field", "x", "y")
+
+
+def near_duplicate_pairs(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS) -> DataFrame:
     """Every pair of different ids with alike texts in a field: (field_name, id_a, id_b), id_a < id_b.
 
-    With ``whole`` that holds at every size. Without it, a bag of words that more than ``EXPANDED``
-    records share is not expanded into all pairs, which would be their number squared: each of its
-    records is paired with the smallest id of them, which also stands for all of them in pairs with
-    other texts.
+    That holds at every size, so the rows grow as the square of a class of equal texts; groups without
+    its pairs come from ``near_duplicate_groups``.
     """
     members, links = find_links(texts, min_words, min_likeness)
+    shared = members.groupBy(F.col("cls").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a", F.col("a").alias("b"))
+    pairs = member_pairs(links.select("a", "b").unionByName(shared), members, members, True)
     name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
-    if whole:
-        return member_pairs(members, links).select(name.alias("field_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-    shared = settle(members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
-    crowded = shared.where(F.col("n") > EXPANDED).select("cls", "first")
-    few = members.join(shared.where(F.col("n") <= EXPANDED).select("cls"), "cls").select("cls", "field", "id")
-    pairs = few.select("cls", "field", F.col("id").alias("x")).join(few.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("field", "x", "y")
-    ends = members
-    if not crowded.isEmpty():
-        pairs = pairs.unionByName(members.join(crowded, "cls").select("field", F.col("first").alias("x"), F.col("id").alias("y")))
-        ends = members.join(crowded, "cls", "left").where("first is null or id = first")
-    a = ends.select(F.col("cls").alias("a"), "field", F.col("id").alias("x"))
-    b = ends.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    pairs = pairs.unionByName(links.join(a, "a").join(b, "b").select("field", "x", "y")).where("x <> y")
     return pairs.select(name.alias("field_name"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_duplicate_groups(texts: DataFrame, field_names: list[str], min_words: int = MIN_WORDS, min_likeness: float = MIN_LIKENESS) -> DataFrame:
     """One row per record and field of every group of alike or equal texts.
 
-    (field_name, id, group_id, n_copies, n_links): ``group_id`` is the smallest id of the group,
-    ``n_copies`` the records with the same bag of words, ``n_links`` the other bags it is linked to.
-    Copies are not expanded into pairs.
+    (field_name, id, group_id, n_copies): ``group_id`` is the smallest id of the group, ``n_copies`` the
+    records with the same bag of words. Groups are those of all pairs of ``near_duplicate_pairs``, but
+    neither copies nor long posting lists are expanded into pairs: the classes of a long list are linked
+    to its smallest one first, and only classes that this leaves apart meet the others of their lists.
     """
-    members, links = find_links(texts, min_words, min_likeness)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "cls")
+    members, classes = read_classes(texts, min_words)
+    pairs, long = merge_lists(postings(classes), False, min_likeness)
+    if long.isEmpty():
+        links = settle(verified_links(classes, matched(pairs), min_likeness), "links")
+    else:
+        hot = long.select("cls").distinct()
+        n = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        # A pair with one short list in common may have a long one too, if both stand in such lists.
+        once = n.where("n = 1").join(hot.withColumnRenamed("cls", "a"), "a", "left_semi").join(hot.withColumnRenamed("cls", "b"), "b", "left_semi")
+        star = long.join(long.groupBy("v").agg(F.min("cls").alias("a")), "v").where("a < cls").select("a", F.col("cls").alias("b"))
+        first = n.where("n > 1").select("a", "b").unionByName(once.select("a", "b")).unionByName(star).distinct()
+        links = settle(verified_links(classes, first, min_likeness), "links")
+        apart = matched(long_list_pairs(long, False, min_likeness, _labels(links).withColumnRenamed("node", "cls")))
+        links = links.unionByName(settle(verified_links(classes, apart, min_likeness), "links"))
     copies = members.groupBy("cls").agg(F.count("*").alias("n_copies"))
-    labels = component_labels(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls")
-    rows = members.join(copies, "cls").join(degree, "cls", "left").join(labels, "cls", "left").where("n_copies > 1 or n_links > 0").withColumn("label", F.coalesce("label", "cls"))
+    rows = members.join(copies, "cls").join(_labels(links).withColumnRenamed("node", "cls"), "cls", "left").where("n_copies > 1 or label is not null").withColumn("label", F.coalesce("label", "cls"))
     smallest = rows.groupBy("field", "label").agg(F.min("id").alias("group_id"))
     name = F.element_at(F.array(*map(F.lit, field_names)), F.col("field") + 1)
-    return rows.join(smallest, ["field", "label"]).select(name.alias("field_name"), "id", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(smallest, ["field", "label"]).select(name.alias("field_name"), "id", "group_id", "n_copies")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return component_labels(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

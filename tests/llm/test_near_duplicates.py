@@ -80,19 +80,78 @@ def test_long_lists_lose_nothing(spark, monkeypatch):
     whole = {(r.id_a, r.id_b) for r in near_duplicate_pairs(texts, ["f"]).collect()}
     check_recall(whole, rows)
     monkeypatch.setattr(signatures, "LONG_LIST", 3)
-    assert {(r.id_a, r.id_b) for r in near_duplicate_pairs(texts, ["f"]).collect()} >= whole
+    assert {(r.id_a, r.id_b) for r in near_duplicate_pairs(texts, ["f"]).collect()} == whole
+    group = {r.id: r.group_id for r in near_duplicate_groups(texts, ["f"]).collect()}
+    assert set(group) == {x for p in whole for x in p} and all(group[a] == group[b] for a, b in whole)
 
 
-def test_crowded_copies_are_not_expanded(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "EXPANDED", 3)
-    text, near = "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q"
-    rows = [(f"c{i}", text) for i in range(6)] + [("n1", near), ("n2", near), ("z", "r s t u v w x y z aa bb cc dd")]
+@pytest.mark.parametrize("n", [1001, 5000])
+def test_every_pair_of_many_copies(spark, n):
+    text = "a b c d e f g h i j k l m n o p"
+    rows = [(f"c{i:05d}", text if i % 2 else "P. " + text[:-2]) for i in range(n)] + [("z", "r s t u v w x y z aa bb cc dd")]
     pairs = near_duplicate_pairs(stacked_texts([(0, 0, spark.createDataFrame(rows, "id string, text string"), "id", "text")]), ["f"])
-    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "n1"), ("c0", "n2"), ("n1", "n2")}
+    got = pairs.agg(F.count("*").alias("n"), F.count_if(F.expr("id_a < id_b and id_a like 'c%' and id_b like 'c%'")).alias("ok")).first()
+    assert got.n == got.ok == n * (n - 1) // 2
+
+
+def versions(n, seed, edits=3, length=40):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    out = []
+    for _ in range(n):
+        t = base[:]
+        for k in rng.sample(range(length), edits):
+            t[k] = f"x{rng.randrange(100_000)}"
+        out.append(" ".join(t))
+    return base, out
+
+
+def test_many_versions_of_one_text_across_splits(spark):
+    base, texts = versions(20_000, 12)
+    train = [(f"b{i:05d}", t) for i, t in enumerate(texts)]
+    test = [("t0", " ".join(base)), ("t1", texts[0]), ("t2", " ".join(base[:36] + ["q1", "q2", "q3", "q4"])), ("t3", "r s t u v w x y z aa bb cc dd")]
+    make = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    stacked = stacked_texts([(0, 0, make(test), "id", "text"), (1, 0, make(train).repartition(6), "id", "text")])
+    got = {(r.test_id, r.train_id) for r in cross_split_pairs(stacked, ["text"]).collect()}
+    want = {(a, b) for a, s in test for b, t in train if likeness(s.split(), t.split()) >= 0.7}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 40_000
+
+
+def test_many_versions_of_one_text_are_one_group(spark):
+    _, texts = versions(3000, 13)
+    rng = random.Random(14)
+    rows = [(f"b{i:05d}", t) for i, t in enumerate(texts)] + [(f"o{i:03d}", " ".join(f"w{rng.randrange(3000)}" for _ in range(40))) for i in range(500)]
+    far, near = texts[0].split(), texts[1].split()
+    rows += [("y1", " ".join(far[:33] + ["u1", "u2", "u3", "u4", "u5", "u6", "u7"])), ("y2", " ".join(near[:-1] + ["u8"]))]
+    groups = near_duplicate_groups(stacked_texts([(0, 0, spark.createDataFrame(rows, "id string, text string"), "id", "text")]), ["f"]).collect()
+    assert {r.group_id for r in groups if r.id.startswith("b")} == {"b00000"} and len(groups) >= 3001
+
+
+def test_long_lists_give_the_pairs_of_short_ones(spark, monkeypatch):
+    rng = random.Random(15)
+    posted = []
+    for c in range(60):  # signatures of few values, so that all lists are long
+        for k in range(6):
+            posted.append(((rng.randrange(1, 4) << 20) | k, c, 4 * (8 + c % 5) + 1 + c % 3))
+    df = spark.createDataFrame(posted, "v bigint, cls bigint, shape int")
+    for cross in (False, True):
+        want = {(r.a, r.b) for r in signatures.merge_postings(df, cross, 0.7).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(signatures, "LONG_LIST", 3)
+            m.setattr(signatures, "CELL", 4)
+            got = [(r.a, r.b) for r in signatures.merge_postings(df, cross, 0.7).collect()]
+        assert set(got) == want and len(got) == len(want)
+        values = {}
+        for v, c, _ in posted:
+            values.setdefault(c, set()).add(v)
+        shape = {c: s for _, c, s in posted}
+        across = lambda x, y: (x & 1 and y & 2) or (x & 2 and y & 1)
+        alike = lambda x, y: min(x // 4, y // 4) >= 0.7 * max(x // 4, y // 4)
+        assert want == {(a, b) for a, b in combinations(range(60), 2) if len(values[a] & values[b]) > 1 and alike(shape[a], shape[b]) and (not cross or across(shape[a], shape[b]))}
 
 
 def test_p4_found_lists_crowded_classes_whole(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(near_duplicates, "EXPANDED", 3)
+    monkeypatch.setattr(near_duplicates, "PART", 3)
     text, near = "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q"
     rows = [(f"c{i:02d}", text if i % 2 else "P. " + text[:-2]) for i in range(11)] + [(f"n{i}", near) for i in range(5)] + [("y", near[:-1] + "s"), ("z", "r s t u v w x y z aa bb cc dd"), ("c03", near)]
     spark.createDataFrame(rows, "id string, candidate_message string").write.parquet(f"{tmp_path}/v1_b.parquet")
@@ -150,11 +209,11 @@ def test_very_long_texts(spark):
 
 def test_signatures_do_not_depend_on_blocks(monkeypatch):
     texts = [t.encode().split() for t in corpus(7, n=30)]
-    whole = signatures.Signer(0, 6.0, {}, 8, 3).sign(texts)
+    whole = signatures.Signer(0, 8, 3).sign(texts)
     monkeypatch.setattr(signatures, "_BLOCK", 7)
     monkeypatch.setattr(signatures, "_ELEMENTS", 45)
-    assert np.array_equal(signatures.Signer(0, 6.0, {}, 8, 3).sign(texts), whole)
-    assert np.array_equal(signatures.Signer(0, 6.0, {}, 8, 3).sign(texts[::-1])[::-1], whole)
+    assert np.array_equal(signatures.Signer(0, 8, 3).sign(texts), whole)
+    assert np.array_equal(signatures.Signer(0, 8, 3).sign(texts[::-1])[::-1], whole)
 
 
 def test_components(spark):
