@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import portable_hash
 from ..functions.verdicts import VERDICTS, binary, is_leak, is_valid, threeway
 
-#: Picks of a resample that one row of the bootstrap adds up.
-PICKS = 4096
+#: Standard deviations around its mean within which a binomial number is looked for.
+SPREAD = 10
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -100,32 +105,62 @@ def tier_breakdown(df: DataFrame, by: list[str], tier: str) -> DataFrame:
     return df.groupBy(*by).agg(count_where(t == 0).alias("n0"), count_where(t == 1).alias("n1"), count_where(t == 2).alias("n2"), count_where(t.isNull()).alias("n_missing"), F.try_divide(F.sum(t), F.count(t)).alias("mean"))
 
 
+def binomial_quantiles(n: int, p: float, u: np.ndarray) -> np.ndarray:
+    """The smallest k with P(Binomial(n, p) <= k) >= u, for each u, from the probabilities around the mean."""
+    if p <= 0 or n <= 0:
+        return np.zeros(len(u), np.int64)
+    if p >= 1:
+        return np.full(len(u), n, np.int64)
+    reach = SPREAD * math.sqrt(n * p * (1 - p)) + 2
+    low, high, mode = max(0, math.floor(n * p - reach)), min(n, math.ceil(n * p + reach)), min(n, math.floor((n + 1) * p))
+    up, down = np.arange(mode, high, dtype=float), np.arange(mode, low, -1, dtype=float)
+    above = np.cumprod((n - up) / (up + 1) * (p / (1 - p)))
+    below = np.cumprod(down / (n - down + 1) * ((1 - p) / p))
+    cdf = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return np.minimum(low + np.searchsorted(cdf, u * cdf[-1]), high)
+
+
+def resampled_totals(values: np.ndarray, counts: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The sum of every resample: how often each value is picked is binomial given the picks before it.
+
+    ``draws`` has a row of uniform numbers per resample, one for each value but the last.
+    """
+    left = np.full(len(draws), int(counts.sum()), np.int64)
+    rest, total = int(counts.sum()), np.zeros(len(draws))
+    for j, (value, n) in enumerate(zip(values[:-1], counts[:-1])):
+        picked = np.zeros(len(draws), np.int64)
+        for k in np.unique(left):
+            rows = left == k
+            picked[rows] = binomial_quantiles(int(k), n / rest, draws[rows, j])
+        total, left, rest = total + value * picked, left - picked, rest - int(n)
+    return total + values[-1] * left
+
+
 def bootstrap_interval(counts: DataFrame, value: str, replicates: int, seed: str) -> DataFrame:
     """(mean, low, high, n) of the mean of ``value`` over ``replicates`` resamples, given (value, n).
 
-    Only the counts of the few distinct values matter, so each replicate draws positions by hash and
-    looks the value up in the cumulative counts: no row of the data is repeated. The bounds are the
-    replicates at positions int(.025 B) and int(.975 B) of the sorted means. ``counts`` must have few
-    rows, as tiers and hits do.
+    Only the counts of the few distinct values matter: a resample is a multinomial draw of them, made of
+    one binomial number per value from a hash of seed, replicate and value, so its cost does not depend
+    on the number of rows. The bounds are the replicates at positions int(.025 B) and int(.975 B) of the
+    sorted means. ``counts`` must have few rows, as tiers and hits do; null values are left out. No rows
+    give nulls and n 0.
     """
     spark = counts.sparkSession
-    ordered = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("n")))).alias("vs"))
-    cumulative = ordered.select(
-        "vs",
-        F.aggregate("vs", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n"),
-        F.transform("vs", lambda x, i: F.struct(x["v"].alias("v"), F.aggregate(F.slice("vs", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("upto"))).alias("cum"),
-    )
-    n = ordered.select(F.aggregate("vs", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).first()[0] or 0
-    blocks = max(1, -(-n // PICKS))
-    reps = spark.range(replicates * blocks).select((F.col("id") / blocks).cast("bigint").alias("id"), (F.col("id") % blocks).alias("block")).crossJoin(F.broadcast(cumulative))  # one row
-    pick = lambda j: portable_hash(seed, F.col("id"), j) % F.col("n")
-    at = lambda p: F.try_element_at(F.filter("cum", lambda c: c["upto"] > p), F.lit(1))["v"]
-    first, last = F.col("block") * PICKS + 1, F.least((F.col("block") + 1) * PICKS, F.col("n"))
-    total = F.aggregate(F.transform(F.sequence(first, last), lambda j: at(pick(j))), F.lit(0.0), lambda a, v: a + v)
-    means = reps.where("n > 0").select("id", "n", total.alias("t")).groupBy("id").agg((F.sum("t") / F.first("n")).alias("m"))
-    w = Window.orderBy("m")  # B rows, a fixed number
-    ranked = means.withColumn("rn", F.row_number().over(w))
+    kept = counts.where(F.col(value).isNotNull() & (F.col("n") > 0)).groupBy(F.col(value).cast("double").alias("v")).agg(F.sum("n").alias("n"))
+    vs = kept.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vs"))
+    uniform = F.transform(F.sequence(F.lit(1), F.size("vs")), lambda j: (portable_hash(seed, F.col("id"), j) + 0.5) / F.lit(2.0**32))
+    rows = spark.range(replicates).crossJoin(F.broadcast(vs)).where("size(vs) > 0").select("vs", uniform.alias("us"))  # one row
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cells = pdf["vs"].iloc[0]
+                values, sizes = np.array([x["v"] for x in cells], float), np.array([x["n"] for x in cells], np.int64)
+                yield pd.DataFrame({"m": resampled_totals(values, sizes, np.stack(pdf["us"].to_numpy())) / sizes.sum()})
+
+    ranked = rows.mapInPandas(draw, "m double").withColumn("rn", F.row_number().over(Window.orderBy("m")))  # B rows, a fixed number
     low, high = int(0.025 * replicates) + 1, int(0.975 * replicates) + 1
     bounds = ranked.agg(F.max(F.when(F.col("rn") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("rn") == high, F.col("m"))).alias("high"))
-    mean = F.try_divide(F.aggregate("vs", F.lit(0.0), lambda a, x: a + x["v"] * x["n"]), F.col("n"))
-    return cumulative.select(mean.alias("mean"), "n").crossJoin(bounds).select("mean", "low", "high", "n")
+    n = F.aggregate("vs", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    mean = F.try_divide(F.aggregate("vs", F.lit(0.0), lambda a, x: a + x["v"] * x["n"]), n)
+    return vs.select(mean.alias("mean"), n.alias("n")).crossJoin(bounds).select("mean", "low", "high", "n")

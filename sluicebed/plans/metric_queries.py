@@ -154,19 +154,35 @@ def calibration_pairs(spark, d):
     return M.pair_calibration(record_predictions(spark, d), T.pair_key(c("id")))
 
 
-B = 200
-_PICKS = f"v AS (SELECT model, list_sort(list(CASE WHEN pred = gold THEN 1 ELSE 0 END)) AS vs, count(*) AS n FROM preds WHERE model = 'm1' GROUP BY model), b AS (SELECT unnest(range({B})) AS b), k AS (SELECT b, unnest(range(1, (SELECT n FROM v) + 1)) AS j FROM b), m AS (SELECT b, sum(vs[({sql_hash(chr(39) + '0' + chr(39), 'b', 'j')} % n) + 1])::DOUBLE / max(n) AS m FROM k, v GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m) AS rn FROM m)"
+#: Resamples of a report and of a decision in the loop.
+REPORT_B, LOOP_B = 4000, 2000
+
+
+def _bootstrap_sql(rows: str, values: list[int], b: int) -> str:
+    """CTEs ``ci(mean, low, high, n)`` of ``s`` (v): per value a binomial number by its distribution function."""
+    cells = ", ".join(f"count(*) FILTER (WHERE v = {v}) AS c{i}" for i, v in enumerate(values))
+    present = " + ".join(f"(c{i} > 0)::INT" for i in range(len(values)))
+    out = f"{rows}, cnt AS (SELECT count(*) AS n, sum(v)::DOUBLE AS t, {cells} FROM s WHERE v IS NOT NULL), r0 AS (SELECT unnest(range({b})) AS b, n, n AS rem, n AS rest, 0 AS t, 0 AS j FROM cnt)"
+    for i, v in enumerate(values):
+        out += f""", q{i} AS (SELECT r.b, r.n, r.rem, r.rest, r.t, r.j + (c{i} > 0)::INT AS j, c{i} AS c, c{i} / r.rest AS p, ({present}) AS kinds, ({sql_hash("'0'", "r.b", f"(r.j + (c{i} > 0)::INT)")} + 0.5::DOUBLE) / 4294967296 AS u FROM r{i} r, cnt),
+w{i} AS (SELECT b, u, unnest(range(greatest(0, floor(rem * p - 10 * sqrt(rem * p * (1 - p)) - 2))::BIGINT, least(rem, ceil(rem * p + 10 * sqrt(rem * p * (1 - p)) + 2))::BIGINT + 1)) AS k, rem, p FROM q{i} WHERE p > 0 AND p < 1 AND rem > 0),
+d{i} AS (SELECT b, u, k, sum(exp(lgamma(rem + 1) - lgamma(k + 1) - lgamma(rem - k + 1) + k * ln(p) + (rem - k) * ln(1 - p))) OVER (PARTITION BY b ORDER BY k) AS cdf FROM w{i}),
+k{i} AS (SELECT b, min(k) FILTER (WHERE cdf >= u) AS k FROM d{i} GROUP BY b),
+r{i + 1} AS (SELECT b, n, rem - x AS rem, rest - c AS rest, t + x * ({v}) AS t, j FROM (SELECT q.*, CASE WHEN c = 0 OR rem <= 0 THEN 0 WHEN p >= 1 THEN rem ELSE k.k END AS x FROM q{i} q LEFT JOIN k{i} k USING (b)))"""
+    low, high = int(0.025 * b) + 1, int(0.975 * b) + 1
+    return out + f""", o AS (SELECT t::DOUBLE / n AS m, row_number() OVER (ORDER BY t) AS rn FROM r{len(values)}),
+ci AS (SELECT (SELECT t / n FROM cnt) AS mean, max(m) FILTER (WHERE rn = {low}) AS low, max(m) FILTER (WHERE rn = {high}) AS high, (SELECT n FROM cnt) AS n FROM o)"""
 
 
-@query(f"{WITH_PREDS}, {_PICKS} SELECT (SELECT list_sum(vs)::DOUBLE / n FROM v) AS mean, max(m) FILTER (WHERE rn = {int(0.025 * B) + 1}) AS low, max(m) FILTER (WHERE rn = {int(0.975 * B) + 1}) AS high, (SELECT n FROM v) AS n FROM o")
+_HIT_CI = _bootstrap_sql("s AS (SELECT CASE WHEN pred = gold THEN 1 ELSE 0 END AS v FROM preds WHERE model = 'm1')", [0, 1], REPORT_B)
+_DIFF_CI = _bootstrap_sql(f"x AS (SELECT id, max(CASE WHEN model = 'm1' THEN {_TIER} END) AS a, max(CASE WHEN model = 'm2' THEN {_TIER} END) AS b FROM preds GROUP BY id), s AS (SELECT b - a AS v FROM x)", [-2, -1, 0, 1, 2], LOOP_B)
+
+
+@query(f"{WITH_PREDS}, {_HIT_CI} SELECT mean, low, high, n FROM ci")
 def bootstrap_ci(spark, d):
     p = predictions(spark, d).where("model = 'm1'")
     counts = p.groupBy(F.coalesce((c("pred") == c("gold")).cast("int"), F.lit(0)).alias("v")).agg(F.count("*").alias("n"))
-    return M.bootstrap_interval(counts, "v", B, "0")
-
-
-_DIFF = f"s AS (SELECT id, max(CASE WHEN model = 'm1' THEN {_TIER} END) AS a, max(CASE WHEN model = 'm2' THEN {_TIER} END) AS b FROM preds GROUP BY id)"
-_PPICKS = _PICKS.replace("v AS (SELECT model, list_sort(list(CASE WHEN pred = gold THEN 1 ELSE 0 END)) AS vs, count(*) AS n FROM preds WHERE model = 'm1' GROUP BY model)", f"{_DIFF}, v AS (SELECT list_sort(list(b - a)) AS vs, count(*) AS n FROM s)")
+    return M.bootstrap_interval(counts, "v", REPORT_B, "0")
 
 
 def _diff_counts(spark, d):
@@ -175,37 +191,14 @@ def _diff_counts(spark, d):
     return w.groupBy((c("b") - c("a")).alias("v")).agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH_PREDS}, {_PPICKS} SELECT (SELECT list_sum(vs)::DOUBLE / n FROM v) AS mean, max(m) FILTER (WHERE rn = {int(0.025 * B) + 1}) AS low, max(m) FILTER (WHERE rn = {int(0.975 * B) + 1}) AS high, (SELECT n FROM v) AS n FROM o")
+@query(f"{WITH_PREDS}, {_DIFF_CI} SELECT mean, low, high, n FROM ci")
 def paired_bootstrap(spark, d):
-    return M.bootstrap_interval(_diff_counts(spark, d), "v", B, "0")
+    return M.bootstrap_interval(_diff_counts(spark, d), "v", LOOP_B, "0")
 
 
-@query(f"{WITH_PREDS}, {_PPICKS}, x AS (SELECT max(m) FILTER (WHERE rn = {int(0.025 * B) + 1}) AS low, max(m) FILTER (WHERE rn = {int(0.975 * B) + 1}) AS high FROM o) SELECT low > 0 AS improved, high < 0 AS regressed, low > 0 AND NOT high < 0 AS accepted FROM x")
+@query(f"{WITH_PREDS}, {_DIFF_CI} SELECT low > 0 AS improved, high < 0 AS regressed, low > 0 AND NOT high < 0 AS accepted FROM ci")
 def accept_decision(spark, d):
     """Accept if the interval of the focus differences lies above 0 and none lies below."""
-    ci = M.bootstrap_interval(_diff_counts(spark, d), "v", B, "0")
-    return ci.select((c("low") > 0).alias("improved"), (c("high") < 0).alias("regressed"), ((c("low") > 0) & ~(c("high") < 0)).alias("accepted"))
-
-
-#: Resamples of SURVEY A22 and A23, too many for a statement; tests compare the operator with brute force at small numbers.
-REPORT_B, LOOP_B = 4000, 2000
-
-
-@query()
-def report_bootstrap_ci(spark, d):
-    p = predictions(spark, d).where("model = 'm1'")
-    counts = p.groupBy(F.coalesce((c("pred") == c("gold")).cast("int"), F.lit(0)).alias("v")).agg(F.count("*").alias("n"))
-    return M.bootstrap_interval(counts, "v", REPORT_B, "0")
-
-
-@query()
-def loop_paired_bootstrap(spark, d):
-    return M.bootstrap_interval(_diff_counts(spark, d), "v", LOOP_B, "0")
-
-
-@query()
-def loop_accept_decision(spark, d):
-    """The decision of ``accept_decision`` over the resamples of A23."""
     ci = M.bootstrap_interval(_diff_counts(spark, d), "v", LOOP_B, "0")
     return ci.select((c("low") > 0).alias("improved"), (c("high") < 0).alias("regressed"), ((c("low") > 0) & ~(c("high") < 0)).alias("accepted"))
 
