@@ -77,7 +77,8 @@ def positions_within(df: DataFrame, by: list[str], order: list[Column], name: st
     same = F.col("_part") == F.col("_p")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
-    joined = numbered.join(F.broadcast(side), same)  # a row per class and partition
+    # One row per partition without classes; with them as many as classes and partitions, so Spark decides.
+    joined = numbered.join(side if by else F.broadcast(side), same)
     return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before", "_p", *(f"_b{i}" for i in range(len(by))))
 
 
