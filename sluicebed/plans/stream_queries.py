@@ -12,6 +12,7 @@ from .catalog import query
 from .lineage import shared_dir
 
 c = F.col
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _places(spark, name):
@@ -27,16 +28,16 @@ def _events(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_live_counts(spark, d):
     out, mark = _places(spark, "counts")
-    S.run_available_complete(S.live_counts(_events(spark, d), ["event_type"]), out, mark)
-    return spark.read.parquet(out)
+    S.run_available_totals(S.live_counts(_events(spark, d), ["event_type"]), out, mark)
+    return S.latest_totals(spark, out, ["event_type"])
 
 
 @query("SELECT date_trunc('day', ts::TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, d):
-    """Totals per day, complete mode so that the last windows are reported as well."""
+    """Totals per day, update mode so that the last windows are reported as well."""
     out, mark = _places(spark, "windows")
-    S.run_available_complete(S.windowed_counts(_events(spark, d), "ts", "event_type"), out, mark)
-    return spark.read.parquet(out).select(c("w.start").alias("day"), "event_type", "n")
+    S.run_available_totals(S.windowed_counts(_events(spark, d), "ts", "event_type"), out, mark)
+    return S.latest_totals(spark, out, ["w", "event_type"]).select(c("w.start").alias("day"), "event_type", "n")
 
 
 @query("SELECT DISTINCT user_id FROM events")
@@ -61,9 +62,16 @@ def stream_open_queue(spark, d):
     return S.open_items(table(spark, d, "customer").select("c_custkey"), spark.read.parquet(out), "c_custkey")
 
 
-@query("SELECT user_id, max(event_id) AS turns, min(CASE WHEN value > 90 THEN event_id END) AS first_hit FROM events GROUP BY user_id")
+@query("""WITH r AS (SELECT user_id, value > 90 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT user_id, min(n) FILTER (WHERE hit AND n <= 15) AS first_hit, least(max(n), 15) AS n FROM r GROUP BY user_id)
+SELECT user_id, coalesce(first_hit, n)::INT AS turns, first_hit::INT AS first_hit FROM f""")
 def stream_first_hits(spark, d):
+    """The state machine per user: count turns, stop at the first hit or after fifteen."""
     out, mark = _places(spark, "hits")
     e = _events(spark, d).withColumn("hit", c("value") > 90)
-    S.run_available_complete(S.first_hits(e, "user_id", "event_id", "hit"), out, mark)
-    return spark.read.parquet(out)
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        S.run_available_totals(S.first_hits(e, "user_id", "event_id", "hit"), out, mark)
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+    return S.latest_totals(spark, out, ["user_id"])
