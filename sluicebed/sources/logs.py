@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.series import reset_runs
+
 
 def read_losses(spark: SparkSession, path: str) -> DataFrame:
-    """(file, run, kind, iteration, loss) of lines like ``Iter 10: Train loss 1.25``.
+    """(file, run, kind, iteration, loss) of lines like ``Iter 10: Train loss 1.25``; ``file`` is the path.
 
-    A run starts where the iteration falls back. Lines keep their order by their place in the file, so
-    one log file is read as one task; files are spread.
+    A run starts where the iteration falls back. Lines keep their order by the block of the file they
+    stand in and their place in it, so a large file is read and numbered by many tasks.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     hit = r"Iter (\d+): (Train|Val) loss ([\d.]+)"
-    rows = lines.where(F.regexp_like("value", F.lit(hit))).select("file", "line", F.regexp_extract("value", hit, 2).alias("kind"), F.regexp_extract("value", hit, 1).cast("int").alias("iteration"), F.regexp_extract("value", hit, 3).cast("double").alias("loss"))
-    w = Window.partitionBy("file").orderBy("line")
-    reset = F.when(F.col("iteration") < F.lag("iteration").over(w), 1).otherwise(0)
-    return rows.withColumn("reset", reset).withColumn("run", F.sum("reset").over(w)).drop("reset", "line")
+    rows = lines.where(F.regexp_like("value", F.lit(hit))).select("file", "block", "line", F.regexp_extract("value", hit, 2).alias("kind"), F.regexp_extract("value", hit, 1).cast("int").alias("iteration"), F.regexp_extract("value", hit, 3).cast("double").alias("loss"))
+    return reset_runs(rows, ["file"], [F.col("block"), F.col("line")], "iteration").select("file", "run", "kind", "iteration", "loss")
 
 
 def longest_run(losses: DataFrame) -> DataFrame:
