@@ -45,20 +45,6 @@ def reset_runs(df: DataFrame, by: list[str], order: list, value: str) -> DataFra
     return running_total(flagged, by, "pos", "_reset", "run").drop("_reset", "previous")
 
 
-def previous_values(df: DataFrame, by: list[str], order: list, value: str, n: int, name: str = "history") -> DataFrame:
-    """Adds the up to ``n`` values before each row, oldest first, as an array.
-
-    Every row hands its value to the ``n`` positions after it, so the rows of one long series meet in
-    small groups all over the cluster.
-    """
-    pos = settle(positions_within(df, by, order, "pos"), "positions")
-    handed = pos.select(*by, F.col(value).alias("_v"), F.posexplode(F.sequence(F.col("pos") + 1, F.col("pos") + n)).alias("_back", "pos"))
-    lists = handed.groupBy(*by, "pos").agg(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("b"), "_v"))).alias("_h"))
-    joined = pos.join(lists, [*by, "pos"], "left")
-    empty = F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")
-    return joined.withColumn(name, F.coalesce(F.transform("_h", lambda x: x["_v"]), empty)).drop("_h", "pos")
-
-
 def running_prefix(df: DataFrame, by: list[str], order: list, value: str, name: str = "history") -> DataFrame:
     """Adds all values before each row of its series, oldest first, as an array.
 

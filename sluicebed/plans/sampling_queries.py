@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import sampling as S
-from ..operators.series import previous_values, reset_runs, running_prefix
+from ..operators.series import reset_runs, running_prefix
 from ..session import table
 from .catalog import query, sql_hash
 from .text_queries import FEATURES_SQL, _REC, _records, features
@@ -95,16 +95,8 @@ def longest_runs(spark, d):
     return S.cap_per_class(runs, ["user_id"], [c("n").desc(), c("run")], 1)
 
 
-@query("SELECT user_id, event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ' ') AS history FROM events")
-def history_prefixes(spark, d):
-    """The four events before each event."""
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    h = previous_values(e, ["user_id"], [c("ts"), c("event_id")], "event_type", 4)
-    return h.select("user_id", "event_id", F.nullif(F.array_join("history", " "), F.lit("")).alias("history"))
-
-
 @query("SELECT user_id, event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' ') AS history FROM events")
-def whole_histories(spark, d):
+def history_prefixes(spark, d):
     """All events before each event."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     h = running_prefix(e, ["user_id"], [c("ts"), c("event_id")], "event_type")
@@ -147,11 +139,15 @@ def seeded_sample(spark, d):
     return _records(spark, d).select("id").withColumn("_h", T.portable_hash("0", c("id"))).orderBy("_h", "id").limit(30).select("id")
 
 
-@query("WITH p AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM (SELECT DISTINCT id FROM human_boundary)) SELECT step, id FROM p, (SELECT unnest([0, 50, 100, 200, 400]) AS step) WHERE rn <= step")
+@query("WITH p AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM (SELECT DISTINCT id FROM human_boundary)), s AS (SELECT unnest([0, 50, 100, 200, 400]) AS step) SELECT step, 'base' AS part, id FROM (SELECT DISTINCT id FROM train_flagged), s UNION ALL SELECT step, 'added', id FROM p, s WHERE rn <= step")
 def growth_prefixes(spark, d):
+    """Training sets that grow: the base with the first 0, 50, 100, 200 and 400 pairs."""
+    steps = F.explode(F.array(*map(F.lit, (0, 50, 100, 200, 400)))).alias("step")
+    base = table(spark, d, "train_flagged").select("id").distinct().select("id", steps)
     first = table(spark, d, "human_boundary").select("id").distinct().orderBy("id").limit(400)
     ranked = first.withColumn("rn", F.row_number().over(Window.orderBy("id")))  # at most 400 rows
-    return ranked.select("id", "rn", F.explode(F.array(*map(F.lit, (0, 50, 100, 200, 400)))).alias("step")).where("rn <= step").select("step", "id")
+    added = ranked.select("id", "rn", steps).where("rn <= step")
+    return base.select("step", F.lit("base").alias("part"), "id").unionByName(added.select("step", F.lit("added").alias("part"), "id"))
 
 
 @query("WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, ceil(count(*) OVER () / 7)::BIGINT AS per FROM documents) SELECT doc_id, pos // per AS batch FROM p")
