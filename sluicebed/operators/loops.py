@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,17 +12,28 @@ from pyspark.sql.types import StructType
 
 #: A scorer takes a batch of rows and returns one value per row, null where it cannot tell.
 Scorer = Callable[[pd.DataFrame], pd.Series]
+#: A registry of models is sent whole to every executor; a larger one is refused.
+MOST_MODELS = 10_000
 
 
-def score(df: DataFrame, scorer: Scorer, kind: str, name: str, default: object = None) -> DataFrame:
+def score(df: DataFrame, scorer: Scorer, kind: str, name: str, default: object = None, retries: int = 0, wait: float = 0.5) -> DataFrame:
     """Add a column computed batch by batch; a failing batch is scored row by row, a failing row gets
-    ``default``: False to fail closed, True to fail open, None for unknown."""
+    ``default``: False to fail closed, True to fail open, None for unknown. A call that fails is made
+    up to ``retries`` times more, after ``wait`` seconds at first and twice as long each time."""
     schema = StructType(list(df.schema.fields)).add(name, kind)
     columns = df.columns
 
+    def call(rows: pd.DataFrame) -> pd.Series:
+        for attempt in range(retries):
+            try:
+                return scorer(rows)
+            except Exception:
+                time.sleep(wait * 2**attempt)
+        return scorer(rows)
+
     def one(row: pd.DataFrame) -> object:
         try:
-            value = scorer(row).iloc[0]
+            value = call(row).iloc[0]
             return default if value is None or value != value else value
         except Exception:
             return default
@@ -29,7 +41,7 @@ def score(df: DataFrame, scorer: Scorer, kind: str, name: str, default: object =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             try:
-                values = scorer(pdf[columns]).astype(object)
+                values = call(pdf[columns]).astype(object)
                 values = values.where(values.notna(), default)
             except Exception:
                 values = pd.Series([one(pdf[columns].iloc[i : i + 1]) for i in range(len(pdf))], index=pdf.index, dtype=object)
@@ -68,10 +80,12 @@ def guarded(hint: Column, leaks: Column, fallback: str) -> Column:
 def dispatch(items: DataFrame, registry: DataFrame, kind: str, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Run every item against every registered model, by the branch of the model's kind.
 
-    ``registry`` is a short table of models with a ``kind`` column; a kind without a branch gives no
-    rows. All branches must return the same columns.
+    ``registry`` is a short table of models with a ``kind`` column, of at most ``MOST_MODELS`` rows; a
+    kind without a branch gives no rows. All branches must return the same columns.
     """
-    tasks = items.crossJoin(F.broadcast(registry))  # a registry has a handful of rows
+    if registry.limit(MOST_MODELS + 1).count() > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    tasks = items.crossJoin(F.broadcast(registry))
     parts = [f(tasks.where(F.col(kind) == name)) for name, f in branches.items()]
     out = parts[0]
     for p in parts[1:]:

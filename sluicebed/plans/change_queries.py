@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import verdicts as V
+from ..functions.text import portable_hash
 from ..operators import changes as C, joins, loops
 from ..operators.sampling import ranked
 from ..session import table
-from .catalog import VERDICT_LIST, WITH_PREDS, gold, predictions, query
+from ..sources import jsonl
+from .catalog import VERDICT_LIST, WITH_PREDS, gold, predictions, query, sql_hash
+from .lineage import shared_dir
 from .text_queries import _leak_sql
 from .vote_queries import _WIDE, wide
 
@@ -105,11 +110,52 @@ def guarded_hints(spark, d):
     return h.select("id", loops.guarded(c("safe_rewrite"), V.leaks_in_context(c("safe_rewrite"), c("final_answer"), c("key_step"), context), "What could you try first?").alias("shown"))
 
 
+@query(f"WITH h AS (SELECT DISTINCT id, problem, conversation_history, final_answer, key_step, leaky_candidate, safe_rewrite FROM human_boundary) SELECT id FROM h WHERE trim(coalesce(leaky_candidate, '')) <> '' AND trim(coalesce(safe_rewrite, '')) <> '' AND {_leak_sql('leaky_candidate')} AND NOT {_leak_sql('safe_rewrite')}")
+def validated_pairs(spark, d):
+    """Pairs whose leaky side trips the detector and whose safe side does not."""
+    h = table(spark, d, "human_boundary").select("id", "problem", "conversation_history", "final_answer", "key_step", "leaky_candidate", "safe_rewrite").distinct()
+    context = V.context_text(c("problem"), c("conversation_history"))
+    trips = lambda text: V.leaks_in_context(c(text), c("final_answer"), c("key_step"), context)
+    filled = (F.trim(F.coalesce("leaky_candidate", F.lit(""))) != "") & (F.trim(F.coalesce("safe_rewrite", F.lit(""))) != "")
+    return h.where(filled & trips("leaky_candidate") & ~trips("safe_rewrite")).select("id")
+
+
+_FLAGS = {name: sql_hash("id", f"'{name}'") for name in ("broad", "sharp", "crisp")}
+_FLAG_SQL = ", ".join(f"{h} % {m} = 0 AS {name}" for (name, h), m in zip(_FLAGS.items(), (2, 3, 5)))
+
+
+@query(f"WITH f AS (SELECT id, source, {_FLAG_SQL} FROM (SELECT DISTINCT id, source FROM human_boundary)), u AS (UNPIVOT f ON broad, sharp, crisp INTO NAME detector VALUE leak) SELECT source, detector, count(*) AS n, count(*) FILTER (WHERE leak) AS n_leaks, count(*) FILTER (WHERE leak) / count(*) AS leak_rate FROM u GROUP BY ALL")
+def detector_rates(spark, d):
+    """Leak rates by source under three detectors, whose answers are recorded as boolean columns."""
+    h = table(spark, d, "human_boundary").select("id", "source").distinct()
+    recorded = F.array(*(F.struct(F.lit(name).alias("detector"), (portable_hash(c("id"), name) % m == 0).alias("leak")) for name, m in zip(_FLAGS, (2, 3, 5))))
+    rows = h.select("source", F.explode(recorded).alias("x")).groupBy("source", "x.detector")
+    return rows.agg(F.count("*").alias("n"), F.count_if("x.leak").alias("n_leaks")).withColumn("leak_rate", c("n_leaks") / c("n"))
+
+
+@query(f"""{WITH_PREDS.replace("WITH ", "WITH RECURSIVE ", 1)}, a AS (SELECT model, row_number() OVER (ORDER BY model) - 1 AS i, count(*) FILTER (WHERE pred = gold) / count(*) AS accuracy FROM preds GROUP BY model),
+hist AS (SELECT i AS round, model, true AS accepted, accuracy AS best, 0 AS dry FROM a WHERE i = 0 UNION ALL SELECT a.i, a.model, accuracy > best, greatest(best, accuracy), CASE WHEN accuracy > best THEN 0 ELSE dry + 1 END FROM hist JOIN a ON a.i = hist.round + 1 WHERE dry < 2)
+SELECT round::INT AS round, model, accepted FROM hist""")
+def climb_history(spark, d):
+    """Models in turn, each kept if it beats the best so far, until two in a row do not or a flag file says halt."""
+    p = predictions(spark, d)
+    scores = p.groupBy("model").agg((F.count_if(c("pred") == c("gold")) / F.count("*")).alias("accuracy")).orderBy("model").limit(100).collect()  # a row per model
+    flag, best = f"{shared_dir(spark)}/halt/{uuid.uuid4().hex}", [-1.0]
+
+    def accepted(row) -> bool:
+        better = row.accuracy > best[0]
+        best[0] = max(best[0], row.accuracy)
+        return better
+
+    history = loops.climb(lambda i: scores[i], accepted, lambda: jsonl.exists(spark, flag), max_rounds=len(scores))
+    return spark.createDataFrame([(x["round"], x["candidate"].model, x["accepted"]) for x in history], "round int, model string, accepted boolean")
+
+
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE length(text) % 3 END AS tier FROM documents")
 def scored_tiers(spark, d):
-    """The scorer protocol with a stand-in scorer; grades outside 0..2 become null."""
+    """The scorer protocol with a stand-in scorer, tried again on failure; grades outside 0..2 become null."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scored = loops.score(docs, lambda pdf: pdf["text"].map(lambda t: None if t is None else len(t) % 3), "double", "raw")
+    scored = loops.score(docs, lambda pdf: pdf["text"].map(lambda t: None if t is None else len(t) % 3), "double", "raw", retries=2)
     return scored.select("doc_id", loops.tier_or_null(c("raw")).cast("bigint").alias("tier"))
 
 
