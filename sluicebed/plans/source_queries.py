@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -70,13 +72,14 @@ def tolerant_read_bad_count(spark, d):
 
 @query("SELECT DISTINCT 'c' || o_orderkey AS conversation_id, r AS pos, CASE r WHEN 0 THEN 'Expert' ELSE 'Novice' END AS model, o_orderstatus AS response, 'Sum of ' || o_orderkey || '?' AS problem FROM orders, (SELECT unnest([0, 1]) AS r)")
 def nested_documents(spark, d):
-    """Nested conversations written as JSON documents and read back as one row per response."""
+    """Conversations written as files of JSON arrays and read back as one row per response."""
     path = _scratch(spark, "nested")
     o = table(spark, d, "orders")
     answer = lambda m: F.struct(c("o_orderstatus").alias("response"), F.create_map(F.lit("Guidance"), F.lit("Yes")).alias("annotation")).alias(m)
     doc = F.struct(F.concat(F.lit("c"), "o_orderkey").alias("conversation_id"), F.concat(F.lit("Tutor: The question is: Sum of "), "o_orderkey", F.lit("? Student: hm")).alias("conversation_history"), F.lit("1").alias("ground_truth"), F.struct(answer("Expert"), answer("Novice")).alias("responses"))
-    jsonl.write_jsonl(o.select(doc.alias("x")).select("x.*"), path)
-    rows = dialogues.nested_rows(spark.read.schema(dialogues.NESTED).json(path))
+    files = o.groupBy(F.floor(c("o_orderkey") / 1000)).agg(F.to_json(F.collect_list(doc)).alias("value"))  # a thousand keys to a file
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = dialogues.read_nested(spark, path)
     return rows.select("conversation_id", "pos", "model", "response", "problem")
 
 
@@ -87,10 +90,13 @@ def guided_teacher_turns(spark, d):
     return g.select("event_id", "pos", "move", "text", F.array_join("history", "|").alias("history"))
 
 
-@query("SELECT 0 AS n")
+@query("SELECT 'absent' AS source, 0 AS n UNION ALL SELECT 'present', count(*) FROM v1_test UNION ALL SELECT 'existing', count(*) FROM v1_test")
 def optional_source(spark, d):
-    schema = table(spark, d, "v1_test").select("id").schema
-    return jsonl.read_optional(spark, _scratch(spark, "absent"), schema).agg(F.count("*").alias("n"))
+    """A source that is there, one that is not, and those of a list that are."""
+    df, here, gone = table(spark, d, "v1_test").select("id"), _scratch(spark, "present"), _scratch(spark, "absent")
+    jsonl.write_jsonl(df, here)
+    reads = {"absent": jsonl.read_optional(spark, gone, df.schema), "present": jsonl.read_optional(spark, here, df.schema), "existing": jsonl.read_existing(spark, [gone, here], df.schema)}
+    return reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n") for name, x in reads.items()])
 
 
 @query("SELECT doc_id, trim(list_last(string_split(coalesce(text, ''), '####'))) = trim(coalesce(text, '')) AS whole FROM documents")
@@ -99,17 +105,31 @@ def marked_answers(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.trim(F.element_at(F.split(t, "####"), -1)) == F.trim(t)).alias("whole"))
 
 
+def _blobs(g):
+    """Results of a hundred items or so each: a bare list, or the list under one of two keys."""
+    parts = max(1, g.count() // 100)
+    packed = g.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "pred")).alias("x"))
+    under = lambda name: F.to_json(F.struct(c("x").alias(name)))
+    return packed.select(F.when(c("part") % 3 == 0, F.to_json("x")).when(c("part") % 3 == 1, under("items")).otherwise(under("per_item")).alias("value"))
+
+
 @query(f"WITH {GOLD} SELECT id, gold AS pred FROM gold")
 def result_blobs(spark, d):
-    """Results of a hundred items or so each, with their items under a key."""
+    """Results in all three forms come back as items."""
     path = _scratch(spark, "blob")
-    g = gold(spark, d).select("id", c("gold").alias("pred"))
-    parts = max(1, g.count() // 100)
-    blobs = g.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "pred")).alias("per_item"))).alias("value"))
-    blobs.select("value").write.text(path)
+    _blobs(gold(spark, d).select("id", c("gold").alias("pred"))).write.text(path)
     return jsonl.result_items(spark, path, one_per_line=True)
 
 
+@query(f"WITH {GOLD} SELECT id, gold AS pred FROM gold WHERE gold <> 'adequate'")
+def newest_results(spark, d):
+    """Of several result files of a folder the one written last is read."""
+    folder, g = _scratch(spark, "downloads"), gold(spark, d).select("id", c("gold").alias("pred"))
+    _blobs(g).write.text(f"{folder}/results-1.json")
+    _blobs(g.where("pred <> 'adequate'")).write.text(f"{folder}/results-2.json")
+    return jsonl.result_items(spark, jsonl.newest(spark, folder, ".json"), one_per_line=True)
+
+
 @query(f"WITH {_REC} SELECT id, coalesce(verdict, '') AS label FROM r")
 def replaced_with_backup(spark, d):
     """A table overwritten by a query over itself."""
@@ -143,11 +163,16 @@ def chunk_files(spark, d):
     return spark.read.schema("o_orderkey bigint, batch bigint").json(path).groupBy("batch").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("SELECT true AS first, false AS second")
+@query("SELECT 1 AS attempt, true AS written, count(*) AS n FROM region UNION ALL SELECT 2, false, count(*) FROM region UNION ALL SELECT 3, true, count(*) FROM nation")
 def write_once(spark, d):
+    """A first write, a second that finds the table there, a third that is forced; and the rows after each."""
     path = _scratch(spark, "once")
-    df = table(spark, d, "region")
-    return spark.createDataFrame([(jsonl.write_once(df, path), jsonl.write_once(df, path))], "first boolean, second boolean")
+    first, second = table(spark, d, "region").select(c("r_name").alias("name")), table(spark, d, "nation").select(c("n_name").alias("name"))
+    rows = []
+    for attempt, (df, force) in enumerate([(first, False), (second, False), (second, True)], 1):
+        written = jsonl.write_once(df, path, force)
+        rows.append((attempt, written, jsonl.read_jsonl(spark, path, first.schema).count()))
+    return spark.createDataFrame(rows, "attempt int, written boolean, n bigint")
 
 
 @query(f"WITH {GOLD} SELECT g.id, coalesce(r.raw, '') AS raw FROM gold g LEFT JOIN (SELECT id, min(gold_reasoning) AS raw FROM v1_test WHERE slice = 'core' GROUP BY id) r USING (id)")
@@ -161,12 +186,19 @@ def generated_cycle(spark, d):
     return generators.cycle(spark, 1000, table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", VERDICTS).select("id", "n_name", "label")
 
 
-@query("SELECT kind, iteration, loss FROM (SELECT unnest(['Train', 'Val', 'Train']) AS kind, unnest([1, 2, 3]) AS iteration, unnest([2.5, 2.25, 1.0])::DOUBLE AS loss)")
+@query("""WITH e AS (SELECT user_id % 8 AS log, event_id, event_id % 1000 AS iteration, CASE WHEN event_id % 5 = 0 THEN 'Val' ELSE 'Train' END AS kind, ((event_id % 1000) / 8.0)::DOUBLE AS loss FROM events),
+r AS (SELECT *, CASE WHEN iteration < lag(iteration) OVER (PARTITION BY log ORDER BY event_id) THEN 1 ELSE 0 END AS reset FROM e), k AS (SELECT *, sum(reset) OVER (PARTITION BY log ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
+b AS (SELECT log, run FROM (SELECT log, run, row_number() OVER (PARTITION BY log ORDER BY count(*) DESC, run) AS rn FROM k GROUP BY log, run) WHERE rn = 1)
+SELECT log::VARCHAR AS log, kind, iteration, loss FROM k JOIN b USING (log, run)""")
 def training_log(spark, d):
+    """The longest run of each of eight logs, written as text with lines in between that say nothing."""
     path = _scratch(spark, "train")
-    lines = ["start", "Iter 5: Train loss 9.0", "Iter 6: Train loss 8.0", "Iter 1: Train loss 2.5", "noise", "Iter 2: Val loss 2.25", "Iter 3: Train loss 1.0"]
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
-    return logs.longest_run(logs.read_losses(spark, path)).select("kind", "iteration", "loss")
+    e = table(spark, d, "events").select("event_id", (c("user_id") % 8).alias("log"), (c("event_id") % 1000).alias("iteration"))
+    said = F.concat(F.lit("Iter "), "iteration", F.when(c("event_id") % 5 == 0, ": Val loss ").otherwise(": Train loss "), (c("iteration") / 8).cast("string"))
+    lines = e.withColumn("value", F.when(c("event_id") % 7 == 0, F.concat(F.lit("saved\n"), said)).otherwise(said))
+    lines.repartition(8, "log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(path)
+    best = logs.longest_run(logs.read_losses(spark, path))
+    return best.select(F.regexp_extract("file", r"log=(\d+)", 1).alias("log"), "kind", c("iteration").cast("bigint").alias("iteration"), "loss")
 
 
 @query()
