@@ -1,7 +1,9 @@
 """Semantics that the test tables do not show: nulls, ties, empty tables, reruns."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,12 +67,26 @@ def test_empty_inputs(spark):
     assert metrics.bootstrap_interval(spark.createDataFrame([], "v int, n bigint"), "v", 50, "0").first().mean is None
 
 
-def test_bootstrap_over_blocks(spark, monkeypatch):
-    counts = spark.createDataFrame([(0, 30), (1, 70)], "v int, n bigint")
-    whole = metrics.bootstrap_interval(counts, "v", 100, "s").first()
-    monkeypatch.setattr(metrics, "PICKS", 7)
-    assert metrics.bootstrap_interval(counts, "v", 100, "s").first() == whole
-    assert whole.low < whole.mean < whole.high and whole.n == 100
+def test_binomial_quantiles_equal_brute_force():
+    for n, p in [(1, 0.5), (7, 0.2), (40, 0.93), (300, 0.001)]:
+        mass = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        u = (np.arange(500) + 0.5) / 500
+        assert list(metrics.binomial_quantiles(n, p, u)) == [int(np.argmax(mass >= x)) for x in u]
+    assert list(metrics.binomial_quantiles(9, 0.0, u[:2])) == [0, 0] and list(metrics.binomial_quantiles(9, 1.0, u[:2])) == [9, 9]
+    assert abs(metrics.binomial_quantiles(10**9, 0.3, np.array([0.5]))[0] - 3 * 10**8) < 3
+
+
+def test_bootstrap_is_that_of_single_picks(spark):
+    values = np.repeat([-2.0, 0.0, 1.0, 2.0], [30, 200, 120, 50])
+    counts = spark.createDataFrame([(-2, 30), (0, 150), (0, 50), (1, 120), (2, 50), (None, 7), (5, 0)], "v int, n bigint")
+    got = metrics.bootstrap_interval(counts, "v", 4000, "s").first()
+    means = np.sort(np.random.default_rng(1).choice(values, (4000, 400)).mean(axis=1))
+    assert (got.mean, got.n) == (values.mean(), 400)
+    assert abs(got.low - means[100]) < 0.02 and abs(got.high - means[3900]) < 0.02 and got.low < got.mean < got.high
+    one = metrics.bootstrap_interval(spark.createDataFrame([(3, 9)], "v int, n bigint"), "v", 20, "s").first()
+    assert (one.mean, one.low, one.high, one.n) == (3.0, 3.0, 3.0, 9)
+    huge = metrics.bootstrap_interval(spark.createDataFrame([(0, 3 * 10**9), (1, 10**9)], "v int, n bigint"), "v", 200, "s").first()
+    assert huge.low < 0.25 < huge.high and huge.high - huge.low < 1e-4
 
 
 @pytest.mark.parametrize("n, sizes", [(1, (0, 0, 1)), (2, (1, 0, 1)), (3, (1, 1, 1)), (10, (8, 1, 1)), (101, (80, 10, 11))])
@@ -124,6 +140,77 @@ def test_scorer_failures(spark):
     assert {r.x: r.ok for r in loops.score(df, broken, "boolean", "ok").collect()}[2] is None
 
 
+def test_scorer_tries_again(spark, tmp_path):
+    tries = tmp_path / "tries"
+    tries.mkdir()
+
+    def shaky(pdf):
+        n = len(list(tries.iterdir()))
+        (tries / str(n)).touch()
+        if n < 2:
+            raise ValueError
+        return pdf["x"] * 2
+
+    df = spark.createDataFrame([(1,), (2,)], "x int").coalesce(1)
+    assert {r.x: r.y for r in loops.score(df, shaky, "integer", "y", retries=2, wait=0.01).collect()} == {1: 2, 2: 4}
+    assert len(list(tries.iterdir())) == 3
+
+
+def test_registry_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(loops, "MOST_MODELS", 1)
+    models = spark.createDataFrame([("a", "k"), ("b", "k")], "model string, kind string")
+    with pytest.raises(ValueError):
+        loops.dispatch(spark.range(2), models, "kind", {"k": lambda t: t})
+
+
+def test_containment_plan_has_no_nested_loop(spark):
+    needles = spark.createDataFrame([(1, "one two three four")], "k int, n string")
+    hay = spark.createDataFrame([(1, "x one two three four y")], "h int, t string")
+    plan = dedup.contained_texts(needles, hay, "k", "n", "h", "t")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_settled_tables_go(spark):
+    from sluicebed.plans import lineage
+
+    one = settle(spark.range(5), "one")
+    lineage.release(one)
+    with lineage.settled_scope():
+        two = settle(spark.range(5), "two")
+        assert two.count() == 5
+    for df in (one, two):
+        assert not jsonl.exists(spark, df.settled_path)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from sluicebed.plans import lineage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_first_hits_over_batches(spark, tmp_path):
+    from sluicebed.plans.stream_queries import _STORE
+    from sluicebed.streaming import feedback
+
+    schema = "k string, t int, hit boolean"
+    batches = [[("a", 1, False), ("a", 2, None), ("b", 1, True), ("c", 1, False)], [("a", 3, True), ("b", 2, True), ("c", 3, False), ("c", 2, False)], [("a", 4, True), ("c", 4, True)]]
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = feedback.first_hits(feedback.feedback_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "k", "t", "hit", most=3)
+            feedback.run_available_totals(stream, f"{tmp_path}/out", f"{tmp_path}/mark")
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+    got = {r.k: (r.turns, r.first_hit) for r in feedback.latest_totals(spark, f"{tmp_path}/out", ["k"]).collect()}
+    assert got == {"a": (3, 3), "b": (1, 1), "c": (3, None)}
+
+
 def test_files(spark, tmp_path):
     schema = spark.createDataFrame([], "id string, v string").schema
     folder = tmp_path / "lines"
@@ -204,30 +291,10 @@ def test_running_prefix_is_whole(spark):
 
 
 def test_prefix_classes_by_the_whole_conversation(spark, tmp_path):
-    from sluicebed.plans.join_queries import conversation_prefix_classes
+    from sluicebed.plans.join_queries import prefix_classes
 
     known = ["mrb-1180-90f-Gemini", "mrb-0005446-Mistral", "junk-a-1"]
     ids = {"mrb-1180-90f-Phi": "prefix", "mrb-1180-9-Phi": "prefix", "mrb-1180-777-Phi": "other", "mrb-0005-Phi": "prefix", "mrb-0005447-Phi": "other", "mrb-0005446x-Phi": "other", "mrb-0005446-Novice": "novice", "junk-a-1": "other"}
     spark.createDataFrame([(x,) for x in known], "id string").write.parquet(f"{tmp_path}/human_boundary.parquet")
     spark.createDataFrame([(x,) for x in ids] * 2, "id string").write.parquet(f"{tmp_path}/v1_b.parquet")
-    assert sorted(map(tuple, conversation_prefix_classes(spark, str(tmp_path)).collect())) == sorted(ids.items())
-
-
-def test_bootstraps_take_the_resamples_of_the_survey(spark, monkeypatch):
-    from sluicebed.plans import metric_queries as Q
-
-    asked, interval = [], metrics.bootstrap_interval
-    monkeypatch.setattr(Q.M, "bootstrap_interval", lambda counts, value, b, seed: asked.append(b) or interval(counts, value, 7, seed))
-    for f in (Q.report_bootstrap_ci, Q.loop_paired_bootstrap, Q.loop_accept_decision):
-        f(spark, "/root/testdata/sf0.001")
-    assert asked == [4000, 2000, 2000]
-
-
-def test_bootstrap_equals_brute_force(spark):
-    from hashlib import md5
-
-    counts, b = {0.0: 5, 1.0: 9, 2.0: 3}, 60
-    values = [v for v, n in sorted(counts.items()) for _ in range(n)]
-    means = sorted(sum(values[int(md5(f"s-{i}-{j}".encode()).hexdigest()[:8], 16) % 17] for j in range(1, 18)) / 17 for i in range(b))
-    got = metrics.bootstrap_interval(spark.createDataFrame(list(counts.items()), "v double, n bigint"), "v", b, "s").first()
-    assert (got.mean, got.low, got.high, got.n) == (sum(values) / 17, means[int(0.025 * b)], means[int(0.975 * b)], 17)
+    assert sorted(map(tuple, prefix_classes(spark, str(tmp_path)).collect())) == sorted(ids.items())
