@@ -26,27 +26,28 @@ def newton_tilt(counts: np.ndarray, targets: np.ndarray, base: float, features:
     """Inclusion probabilities base * exp(features @ lambda) per category that meet the target sums.
 
     Minimises the dual sum(counts * base * exp(A l)) - t l by damped Newton steps. ``features`` are
-    indicator columns, by default one per category; ``targets`` are sums per feature.
+    indicator columns, ``targets`` sums per feature. By default there is one per category; the Hessian
+    is diagonal then and a step costs no more than the number of categories. With others, such as the
+    margins of the categories, it is a matrix of their number squared.
     """
-    a = np.eye(len(counts)) if features is None else features
-    lam = np.zeros(a.shape[1])
+    lam = np.zeros(len(targets))
+    tilt = (lambda x: x) if features is None else (lambda x: features @ x)
 
     def dual(x: np.ndarray) -> float:
         with np.errstate(over="ignore"):
-            return float((counts * base * np.exp(a @ x)).sum() - targets @ x)
+            return float((counts * base * np.exp(tilt(x))).sum() - targets @ x)
 
     for _ in range(steps):
-        expected = counts * base * np.exp(a @ lam)
-        gap = a.T @ expected - targets
-        if np.abs(gap).max(initial=0) < 1e-9 * max(1.0, targets.sum()):
+        expected = counts * base * np.exp(tilt(lam))
+        gap = (expected if features is None else features.T @ expected) - targets
+        if np.abs(gap).max(initial=0) < 1e-12 * max(1.0, targets.sum()):
             break
-        hessian = (a.T * expected) @ a + 1e-12 * np.eye(len(lam))
-        step = np.linalg.solve(hessian, gap)
+        step = gap / np.maximum(expected, 1e-300) if features is None else np.linalg.solve((features.T * expected) @ features + 1e-12 * np.eye(len(lam)), gap)
         size = 1.0
         while size > 1e-8 and not dual(lam - size * step) <= dual(lam):
             size /= 2
         lam = lam - size * step
-    return base * np.exp(a @ lam)
+    return base * np.exp(tilt(lam))
 
 
 def sampling_plan(df: DataFrame, id_column: str, categories: dict[str, Column], targets: DataFrame, share: float) -> tuple[DataFrame, list[dict]]:
@@ -78,7 +79,7 @@ def sampling_plan(df: DataFrame, id_column: str, categories: dict[str, Column],
     if open_:
         tilted = newton_tilt(np.array([p["available"] for p in open_], float), np.array([p["wanted"] for p in open_], float), share)
         for p, q in zip(open_, tilted):
-            p["probability"] = float(min(1.0, q))
+            p["probability"] = round(float(min(1.0, q)), 9)
     return records, sorted(plan, key=lambda p: [str(p[n]) for n in names])
 
 
@@ -115,17 +116,18 @@ def draw(records: DataFrame, plan: list[dict], names: list[str], seed: str = "",
     rows = [(*(p[n] for n in names), p["probability"], max(1, -(-p["available"] // block))) for p in plan if p["taken"]]
     schema = records.select(*names).schema.add("_pi", "double").add("_blocks", "integer")
     chances = spark.createDataFrame(rows, schema)
-    unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    work = records.join(F.broadcast(chances), names).withColumn("_u", unit).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(seed + "#")), F.col("_blocks")).cast("int"))
+    unit = lambda tag: (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed + tag)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    # the order of the records, their block and each of the two rounds of duels have randomness of their own
+    work = records.join(F.broadcast(chances), names).withColumns({"_u": unit(""), "_first": unit("first"), "_last": unit("last")}).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(seed + "#")), F.col("_blocks")).cast("int"))
     schema = work.schema
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_u", "id"], kind="stable")
-        return pdf.assign(_pi=pivotal(pdf["_pi"].to_numpy(), pdf["_u"].to_numpy() * 7919 % 1.0))
+        return pdf.assign(_pi=pivotal(pdf["_pi"].to_numpy(), pdf["_first"].to_numpy()))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_u", "id"], kind="stable")
-        out = pivotal(pdf["_pi"].to_numpy(), pdf["_u"].to_numpy() * 104729 % 1.0)
+        out = pivotal(pdf["_pi"].to_numpy(), pdf["_last"].to_numpy())
         return pdf.assign(_pi=np.round(out))  # the wanted number is whole, so what is left is rounding noise
 
     whole = work.where("_pi >= 1")
