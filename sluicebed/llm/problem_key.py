@@ -25,6 +25,10 @@ def _plain(word: str) -> str:
     return word if len(word) < 4 else word[0] + "".join(sorted(word[1:]))
 
 
+# Number words and units are known with swapped letters too; "there" is a word of its own and no "three".
+_SPELLED = {_plain(w): w for w in [*_VALUE, *_SCALE, *_MEASURES] if w != "three"}
+
+
 def problem_key(text: str) -> str:
     """The canonical form of a problem text; empty if it has no letters or digits."""
     t = unicodedata.normalize("NFKC", text).lower().replace("’", "'").replace("​", "")
@@ -45,7 +49,7 @@ def problem_key(text: str) -> str:
             out.append(str(number + part))
             number, part = None, 0
 
-    tokens = [w.strip() for w in _TOKEN.findall(t)]
+    tokens = [_SPELLED.get(_plain(w), w) for w in (w.strip() for w in _TOKEN.findall(t))]
     for i, w in enumerate(tokens):
         v = _VALUE.get(w)
         if v is not None:
