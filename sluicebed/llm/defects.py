@@ -1,19 +1,21 @@
 """Unusable answers in prompt and response records, each with its kind of defect.
 
 Method: placeholders are recognised by what is left of a text without marks; copies by greedy string
-tiling against the record's own texts; refusals by a grammar of declining sentences; other languages
+tiling against the record's own texts; refusals by a grammar of declining clauses; other languages
 by the script and the function words; truncation by a pushdown parser that follows fences, brackets,
-quotations, list items and markup to the end of the text. A text has at most one defect, the first of:
+quotations, formulas, lists and markup to the end of the text. A text has at most one defect, the first of:
 empty, copy, refusal, other_language, truncated.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,14 @@ _LONGEST_PLACEHOLDER = 60
 # The words of declining sentences. A sentence of the first person declines if it holds a
 # word of unwillingness and after it a task that was asked for; a few set phrases decline by themselves.
 _FIRST = re.compile(r"\b(?:i|me|my|we|us|our)\b")
+_OTHERS = re.compile(r"\b(?:you|he|she|they|students?|teachers?|tutors?)\b")
+_CLAUSE = re.compile(r"\s*;\s*|\s*[,:—–]\s+(?=(?:so|but|and|because|since|though|although|while|when|if|then|or|which)\b)|\s+(?=(?:because|although|whereas)\b)")
+#: Words that make a task a thing instead: "my answer", "the comment".
+_THING = "".join(f"(?<!\\b{w} )" for w in "my your his her our their the a an this that its earlier final first last next whole right wrong correct".split())
 _TASK = r"(?:assist|help|answer|answering|respond|reply|comment|complete|continue|judge|assess|evaluate|grade|rate|review|write|rewrite|give|giving|provide|offer|produce|generate|create|discuss|discussing|engage|fulfil+|do (?:this|that|so|it)|take part|process|carry (?:on|out)|comply|say more|proceed|handle|address|deal with|work on|look at|go on|go further)"
 _UNWILLING = r"(?:n['’]t|\b(?:not|cant|wont|never|cannot|unable|unwilling|declin\w*|refus\w*|refrain\w*|abstain\w*|pass on|skip\w*|avoid\w*|uncomfortable|inappropriate|improper|barred|forbidden|prohibited|impossible|reluctant|hesitant|outside|beyond|against|rather leave|sit this))"
-_DECLINES = re.compile(rf"(?P<neg>{_UNWILLING})\b[^.?!]{{0,60}}?\b{_TASK}\b")
+_UNSURE = r"(?! (?:\w+ )?(?:sure|certain|clear|convinced|positive|aware)\b)"
+_DECLINES = re.compile(rf"(?P<neg>{_UNWILLING})\b{_UNSURE}[^.?!]{{0,60}}?{_THING}\b{_TASK}\b")
 _SET_PHRASES = re.compile(r"\bno comment\b|\bi (?:\w+ )?(?:decline|refuse|abstain)\b|\bi (?:must|have to|will|would|shall|may|can) (?:\w+ )?(?:decline|refuse|pass on|abstain)\b|\b(?:as an? (?:ai|language|large language|assistant)\b[^.?!]{0,40}?)(?:can|could|will|would|wo|do|am|may|must)\s?(?:n['’]t|not|decline|unable)|\bcount me out\b|\bi['’]ll pass\b")
 _KEEPS_ANSWER = re.compile(rf"\b(?:give|giving|provide|offer|say)\b[^.?!]{{0,20}}\b(?:answer|solution|result|away)\b")
 #: Grounds and referrals that go with declining; one ground or two referrals are enough.
@@ -57,8 +64,10 @@ _FOREIGN = {
     "it": "il lo la i gli le un uno una e o di del della dei delle al alla in nel nella con per che si suo sua è sono molto bene ma ancora tuo tua più come quando perché senza su sulla sulle sotto tra fra ci non ti questo questa cosa nei".split(),
     "nl": "de het een en of van in op met voor door uit bij naar over onder is zijn was zeer goed maar nog jouw je meer hoe als omdat zonder tussen er hij zij niet dat dit wat waarom per die om te aan heeft".split(),
 }
-_FOREIGN_ONLY = [frozenset(v) - _ENGLISH for v in _FOREIGN.values()]
-_ENGLISH_ONLY = frozenset(_ENGLISH).difference(*_FOREIGN.values())
+# Words of English exercises, among them some that look like function words elsewhere.
+_EXERCISE = set("plus minus times per son die add subtract multiply divide compute solve find show write draw count check compare explain try look think read number numbers answer question problem step steps equation sum total correct right wrong first next last each left".split())
+_FOREIGN_ONLY = [frozenset(w for w in v if len(w) > 1) - _ENGLISH - _EXERCISE for v in _FOREIGN.values()]
+_ENGLISH_ONLY = frozenset(_ENGLISH).difference(*_FOREIGN.values()) | _EXERCISE
 
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -85,38 +94,69 @@ def is_empty(text: str | None) -> bool:
     return not bare or bare in PLACEHOLDERS
 
 
-def tiled_words(a: list[str], b: list[str], shortest: int = SHORTEST_TILE) -> int:
-    """Words of ``a`` covered by greedy string tiling with ``b``: longest common runs first, no overlaps."""
-    k = min(shortest, 2)  # runs are looked up by their first words
-    free_a, free_b = [True] * len(a), [True] * len(b)
-    places: dict[tuple, list[int]] = {}
-    for j in range(len(b) - k + 1):
-        places.setdefault(tuple(b[j : j + k]), []).append(j)
-    covered = 0
-    while True:
-        longest, found = shortest - 1, []
-        for i in range(len(a) - k + 1):
-            if not free_a[i]:
-                continue
-            for j in places.get(tuple(a[i : i + k]), ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                if n > longest:
-                    longest, found = n, [(i, j)]
-                elif n == longest and found:
-                    found.append((i, j))
-        if not found:
-            return covered
-        for i, j in found:
-            if all(free_a[i : i + longest]) and all(free_b[j : j + longest]):
-                free_a[i : i + longest] = [False] * longest
-                free_b[j : j + longest] = [False] * longest
-                covered += longest
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(prefix: np.ndarray, powers: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the runs of ``n`` words that no tile has touched; ``free`` counts free words."""
+    at = np.flatnonzero(free[n:] - free[:-n] == n)
+    return at, prefix[at + n] - prefix[at] * powers[n]
+
+
+def tiled_words(a: list[str], b: list[str], shortest: int = SHORTEST_TILE, enough: int | None = None) -> int:
+    """Words of ``a`` covered by greedy string tiling with ``b``: longest common runs first, no overlaps.
+
+    Runs are compared by their hashes. Each length is gone through once, the longest that is left is
+    found by halving, and tiles of k different lengths have at least k * (k + 1) / 2 words: n words cost
+    at most about sqrt(2 n) * n * log(n) steps, however repetitive they are. With ``enough`` it stops
+    as soon as that many words are covered or can no longer be.
+    """
+    number: dict[str, int] = {}
+    sides = []
+    for words in (a, b):
+        x = np.array([number.setdefault(w, len(number) + 1) for w in words], np.uint64)
+        x = (x ^ (x >> np.uint64(3))) * np.uint64(0xBF58476D1CE4E5B9)
+        prefix = np.zeros(len(x) + 1, np.uint64)
+        h = 0
+        for i, v in enumerate(x.tolist()):
+            h = (h * int(_BASE) + v) & 0xFFFFFFFFFFFFFFFF
+            prefix[i + 1] = h
+        sides.append((prefix, np.ones(len(x), bool)))
+    (pa_, ma), (pb, mb) = sides
+    powers = np.ones(max(len(a), len(b)) + 1, np.uint64)
+    powers[1:] = np.cumprod(np.full(len(powers) - 1, _BASE))
+    covered, most = 0, min(len(a), len(b))
+    while most >= shortest:
+        fa, fb = np.r_[0, np.cumsum(ma)], np.r_[0, np.cumsum(mb)]
+        if enough is not None and (covered >= enough or covered + min(fa[-1], fb[-1]) < enough):
+            break
+
+        def common(n: int) -> bool:
+            return bool(np.isin(_runs(pa_, powers, fa, n)[1], _runs(pb, powers, fb, n)[1]).any())
+
+        low, high = shortest - 1, most  # the longest common run lies above the one and not above the other
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if common(mid) else (low, mid - 1)
+        if low < shortest:
+            break
+        places: dict[int, list[int]] = {}
+        at, h = _runs(pb, powers, fb, low)
+        for j, v in zip(at[::-1].tolist(), h[::-1].tolist()):
+            places.setdefault(v, []).append(j)
+        end = 0
+        for i, v in zip(*(x.tolist() for x in _runs(pa_, powers, fa, low))):
+            while i >= end and places.get(v):
+                j = places[v].pop()
+                if mb[j] and mb[j + low - 1]:  # tiles are never shorter, so a run is free if both its ends are
+                    ma[i : i + low] = mb[j : j + low] = False
+                    covered, end = covered + low, i + low
+        most = low - 1
+    return covered
 
 
 def copied_share(a: list[str], b: list[str]) -> float:
-    """The share of the longer text that tiles cover; 0 if lengths or words rule a copy out."""
+    """The share of the longer text that tiles cover, as far as is needed to tell a copy; 0 if lengths or words rule one out."""
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
     if not shorter or shorter < COPY_SHARE * longer:
         return 0.0
@@ -133,7 +173,7 @@ def copied_share(a: list[str], b: list[str]) -> float:
             shared += 1
     if shared < COPY_SHARE * longer:
         return 0.0
-    return tiled_words(a, b, min(SHORTEST_TILE, shorter)) / longer
+    return tiled_words(a, b, min(SHORTEST_TILE, shorter), math.ceil(COPY_SHARE * longer)) / longer
 
 
 def may_decline(low: str) -> bool:
@@ -154,56 +194,111 @@ def _grammar_declines(low: str) -> bool:
     for sentence in _SENTENCE.split(low):
         if sentence.endswith("?") or not _FIRST.search(sentence):
             continue
-        m = _DECLINES.search(sentence)
-        if m and not _KEEPS_ANSWER.search(sentence, m.start("neg")):
-            return True
+        for clause in _CLAUSE.split(sentence):
+            m = _DECLINES.search(clause)
+            if m and _speaks_for_itself(clause, m.start("neg")) and not _KEEPS_ANSWER.search(clause, m.start("neg")):
+                return True
     return False
 
 
+def _speaks_for_itself(clause: str, at: int) -> bool:
+    """Whether the one unwilling at a place of a clause is its speaker: no other subject is nearer before it."""
+    own = [m.start() for m in _FIRST.finditer(clause, 0, at)]
+    others = [m.start() for m in _OTHERS.finditer(clause, 0, at)]
+    return own[-1] > others[-1] if own and others else not others
+
+
 def other_language(tokens: list[str], text: str) -> bool:
-    """Not in English: mostly another script, or function words of another language prevail."""
-    english = sum(map(_ENGLISH_ONLY.__contains__, tokens))
-    if english * 5 > len(tokens):
-        return False
+    """Not in English: mostly another script, or function words of another language prevail.
+
+    Single letters are no words here: they are the variables of a formula more often than not.
+    """
     if not text.isascii():
         letters = [c for c in text if c.isalpha()]
         if 2 * sum(c < "ɐ" or unicodedata.name(c, "").startswith("LATIN") for c in letters) < len(letters):
             return True
-    best = max(sum(map(s.__contains__, tokens)) for s in _FOREIGN_ONLY)
+    found = [w for w in tokens if len(w) > 1 and not w.isdigit()]
+    english = sum(map(_ENGLISH_ONLY.__contains__, found))
+    if english * 5 > len(found):
+        return False
+    best = max(sum(map(s.__contains__, found)) for s in _FOREIGN_ONLY)
     if english == 0:
-        return best >= 1 and len(tokens) >= 4
+        return best >= 2 or best == 1 and (len(found) >= 6 or not text.isascii())
     return best >= 2 and best > 1.5 * english
 
 
-_STRUCTURE = re.compile(r"```|[()\[\]{}“”«»\"]")
+# Markup elements that enclose text, and words that a sentence does not end with.
+_ELEMENTS = "b i u em strong p ul ol li div span code pre table tr td th h1 h2 h3 h4 h5 h6 a sub sup blockquote".split()
+_DANGLING = set("the a an and or of to in on at by for from with than is are was were be if so but your our my their his her its that which who because then into as".split())
 
+_STRUCTURE = re.compile(rf"(?P<fence>```)|<(?P<end>/?)(?P<tag>{'|'.join(_ELEMENTS)})(?:\s[^<>]*)?>|(?P<math>\$\$|\\[\[\]()])|\\(?P<env>begin|end)\{{(?P<name>\w+\*?)\}}|(?P<mark>[()\[\]{{}}“”«»\"])|^[ \t]*(?P<item>[-*•+]|\d+[.)])[ \t]+(?=\S)|(?P<gap>\n[ \t]*\n)", re.M | re.I)
+_CUT_TAG = re.compile(rf"<(?:/|/?(?:{'|'.join(_ELEMENTS)})(?:\s[^<>]*)?)$", re.I)
+_MATH_ENDS = {"\\)": "\\(", "\\]": "\\["}
 
-def open_structure(text: str) -> list[str]:
-    """The fences, brackets and quotations that are still open at the end of a text."""
-    stack: list[str] = []
-    for m in _STRUCTURE.finditer(text):
-        c = m.group()
-        if c == "```":
-            if "```" in stack:
-                while stack.pop() != "```":
-                    pass
-            else:
-                stack.append(c)
-        elif "```" in stack:
-            continue
-        elif c == '"':
-            if c in stack:
-                while stack.pop() != c:
-                    pass
-            else:
-                stack.append(c)
-        elif c in _PAIRS:
-            if _PAIRS[c] in stack:
-                while stack.pop() != _PAIRS[c]:
-                    pass
+
+class Structure:
+    """What is still open at the end of a text, innermost last: (kind, mark).
+
+    The kinds are fence, tag, math, bracket, quote and list. Inside a fence nothing but its end counts.
+    A mark that closes something closes all that was opened inside it; one that closes nothing is
+    ignored. ``items`` are the starts of the items of the list that is open, if one is.
+    """
+
+    def __init__(self, text: str):
+        self.stack: list[tuple[str, str]] = []
+        self.items: list[int] = []
+        for m in _STRUCTURE.finditer(text):
+            self._read(m)
+
+    def _close(self, frame: tuple[str, str]) -> bool:
+        if frame not in self.stack:
+            return False
+        while self.stack.pop() != frame:
+            pass
+        return True
+
+    def _read(self, m: re.Match) -> None:
+        if m["fence"]:
+            self._close(("fence", "```")) or self.stack.append(("fence", "```"))
+        elif ("fence", "```") in self.stack:
+            return
+        elif m["tag"]:
+            frame = ("tag", m["tag"].lower())
+            self._close(frame) if m["end"] else self.stack.append(frame)
+        elif m["env"]:
+            frame = ("math", m["name"])
+            self._close(frame) if m["env"].lower() == "end" else self.stack.append(frame)
+        elif m["math"]:
+            frame = ("math", _MATH_ENDS.get(m["math"], m["math"]))
+            if m["math"] in _MATH_ENDS:
+                self._close(frame)
+            elif m["math"] != "$$" or not self._close(frame):
+                self.stack.append(frame)
+        elif m["item"]:
+            if ("list", "") not in self.stack:
+                self.stack.append(("list", ""))
+                self.items = []
+            self.items.append(m.end())
+        elif m["gap"]:
+            if self.stack and self.stack[-1] == ("list", "") and not _ITEM.match(m.string, m.end()):
+                self.stack.pop()
+        elif m["mark"] == '"':
+            self._close(("quote", '"')) or self.stack.append(("quote", '"'))
+        elif m["mark"] in _PAIRS:
+            self._close(("quote" if m["mark"] in "”»" else "bracket", _PAIRS[m["mark"]]))
         else:
-            stack.append(c)
-    return stack
+            self.stack.append(("quote" if m["mark"] in "“«" else "bracket", m["mark"]))
+
+    def holds(self, *kinds: str) -> bool:
+        return any(kind in kinds for kind, _ in self.stack)
+
+
+_ITEM = re.compile(r"[ \t]*(?:[-*•+]|\d+[.)])[ \t]+\S")
+
+
+def open_structure(text: str) -> list[str]:
+    """The marks of what is still open at the end of a text, lists aside."""
+    return [mark for kind, mark in Structure(text).stack if kind != "list"]
 
 
 def breaks_off(text: str) -> bool:
@@ -211,28 +306,45 @@ def breaks_off(text: str) -> bool:
     text = _visible(text).rstrip()
     if text.endswith(_FACES):
         text = _EMOTICON.sub("", text).rstrip()
+    if "<" in text and _CUT_TAG.search(text):
+        return True
     end = len(text)
     while end and (text[end - 1] in _CLOSING or text[end - 1].isspace()):
-        end -= 1
+        if text[end - 1] == ">" and (tag := re.search(r"<[^<>]*>$", text[:end])):
+            end = tag.start()
+        else:
+            end -= 1
     if not end:
         return False
-    stack = open_structure(text)
-    if "```" in stack:
+    structure = Structure(text)
+    if structure.holds("fence", "tag", "math"):
         return True
     last = text[end - 1]
     if last == "…" or last == "." and end > 1 and text[end - 2] == ".":
         return True
     if last in ".?!。！？":
         # a sentence that ends in an open bracket goes on, unless a quotation cut that bracket off
-        return any(c in "([{" for c in stack) and any(c in "([{" for c in open_structure(_QUOTED.sub(" ", text)))
+        return structure.holds("bracket") and Structure(_QUOTED.sub(" ", text)).holds("bracket")
+    if structure.holds("list") and structure.items[-1] < end:
+        return _item_breaks_off(text[:end], structure.items)
     line = text[text.rfind("\n", 0, end) + 1 : end].lstrip()
-    if re.match(r"(?:[-*•+]|\d+[.)])\s+\S", line) and last.isalnum() and text.count("\n") >= 2:
-        return False  # list items need no full stop
     if re.match(r"#{1,6}\s", line) or line.startswith("|") and last == "|":
         return False
     return True
 
 
+def _item_breaks_off(text: str, items: list[int]) -> bool:
+    """Of a text whose last item has no full stop: such items need none if the others of the list have none."""
+    words = _WORD.findall(text[items[-1] :].lower())
+    if not text[-1].isalnum() or not words or words[-1] in _DANGLING:
+        return True
+    before = [text[s:e].rstrip().splitlines()[:-1] for s, e in zip(items, items[1:])]
+    ended = [lines[-1].rstrip().endswith((".", "!", "?", ";")) if lines else False for lines in before]
+    if ended:
+        return all(ended)
+    return text.count("\n") < 2
+
+
 @lru_cache(maxsize=64)  # the texts of a record are compared with each of its fields in turn
 def _bare(text: str) -> list[str]:
     if ":" in text[:40] or "-" in text[:40] or "." in text[:12] or ")" in text[:12]:
