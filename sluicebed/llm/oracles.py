@@ -33,11 +33,12 @@ def _named(text: str) -> str:
     return f"CASE WHEN {' + '.join(f'{h}::INT' for h in hits)} = 1 THEN CASE {chosen} END END"
 
 
-_P1 = f"""WITH e AS (SELECT DISTINCT id, unnest(map_entries(votes)) AS e FROM train_flagged),
+_P1_VOTES = f"""WITH e AS (SELECT DISTINCT id, unnest(map_entries(votes)) AS e FROM train_flagged),
 v AS (SELECT id, e.key AS annotator, {_named("e.value")} AS label FROM e),
 c AS (SELECT id, label, count(*) AS n FROM v WHERE label IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, max(n) OVER (PARTITION BY id) AS top FROM c),
-w AS (SELECT id, min(label) AS label, min(top) AS top FROM r WHERE n = top GROUP BY id HAVING count(*) = 1),
+w AS (SELECT id, min(label) AS label, min(top) AS top FROM r WHERE n = top GROUP BY id HAVING count(*) = 1)"""
+_P1 = f"""{_P1_VOTES},
 m AS (SELECT id, min({_named("majority")}) AS said FROM train_flagged GROUP BY id)
 SELECT id, label FROM w JOIN m USING (id) WHERE top >= 2 AND said IS DISTINCT FROM label"""
 _P2 = f"""WITH r AS (SELECT DISTINCT id, slice, {_named("gold_verdict")} AS gold_verdict FROM v1_test),
@@ -66,6 +67,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
         "p2_found": f"{_P2} SELECT slice, gold_verdict FROM p WHERE available < wanted",
+        "p1_agreement": f"""{_P1_VOTES}, i AS (SELECT id, sum(n)::BIGINT AS n_votes, sum(n * (n - 1))::BIGINT AS equal, max(n) AS plurality_votes FROM c GROUP BY id)
+SELECT id, n_votes, CASE WHEN n_votes > 1 THEN equal / (n_votes * (n_votes - 1)) END AS agreement, w.label AS plurality, plurality_votes FROM i LEFT JOIN w USING (id)""",
+        "p2_report": f"""{_P2} SELECT slice, gold_verdict, target_share, min_rows::BIGINT AS min_rows, wanted, available, least(wanted, available) AS taken, wanted - least(wanted, available) AS gap,
+CASE WHEN available > 0 AND wanted >= available THEN 1.0 WHEN available > 0 THEN round(wanted / available, 9) ELSE 0.0 END AS probability FROM p""",
+        "p4_groups": f"""{_P4.replace("WITH t AS", "WITH RECURSIVE t AS", 1)}, both_ AS (SELECT f, x, y FROM r UNION SELECT f, y, x FROM r),
+reach AS (SELECT f, x, x AS y FROM both_ UNION SELECT reach.f, reach.x, both_.y FROM reach JOIN both_ ON both_.f = reach.f AND both_.x = reach.y),
+g AS (SELECT f, x AS id, min(y) AS group_id FROM reach GROUP BY f, x), bag AS (SELECT f, id, list_sort(list(w)) AS b FROM k GROUP BY f, id), copies AS (SELECT f, b, count(*) AS n_copies FROM bag GROUP BY f, b)
+SELECT f AS field_name, id, group_id, n_copies FROM g JOIN bag USING (f, id) JOIN copies USING (f, b)""",
+        "p7_sizes": rf"""SELECT doc_id, n AS n_tokens, greatest(1, ceil(n / m))::INT AS n_parts FROM (SELECT doc_id, max(coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s]')), 0)) AS n FROM documents GROUP BY doc_id), (SELECT min(max_tokens) AS m FROM token_limits WHERE purpose = 'container')""",
         "p4_found": f"{_P4} SELECT f AS field_name, x AS id_a, y AS id_b FROM r",
         "p5_found": f"{_P5} SELECT x AS test_id, y AS train_id, f AS field_name FROM r",
         "p8_found": f"{_P8} SELECT DISTINCT doc_id, item_id FROM hit",

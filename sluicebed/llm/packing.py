@@ -2,8 +2,8 @@
 
 Method: best-fit decreasing. Items go largest first into the open container with the least room that
 still holds them, found in logarithmic time by a segment tree over the remaining capacities. The
-items are spread over groups of bounded size by a hash of their id, so that any number of items is
-packed in parallel; a group leaves only its last few containers partly filled.
+items, and the parts of divided ones, are spread over groups of bounded size by a hash, so that any
+number of them is packed in parallel; a group leaves only its last few containers partly filled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
@@ -89,6 +89,11 @@ def token_sizes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return sizes.groupBy("id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def part_count(capacity: int) -> Column:
+    """The parts that an item of ``n_tokens`` is divided into: one, unless it is larger than the capacity."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
+
+
 def pack(sizes: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
     """The container of every item of (id, n_tokens): (id, part, n_parts, n_tokens, container_id).
 
@@ -100,11 +105,11 @@ def pack(sizes: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> Dat
         raise ValueError("capacity must be at least 1")
     sizes = settle(sizes.select("id", "n_tokens"), "sizes")  # counted first, then packed
     kind = sizes.schema["id"].dataType.simpleString()
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
-    parts = sizes.select("id", "n_tokens", n_parts.alias("n_parts")).select("id", "n_parts", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
+    parts = sizes.select("id", "n_tokens", part_count(capacity).alias("n_parts")).select("id", "n_parts", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
     parts = parts.select("id", "part", "n_parts", F.least(F.lit(capacity), F.col("n_tokens") - F.col("part") * capacity).cast("int").alias("n_tokens"))
-    n_groups = max(1, -(-sizes.count() // group_items))
-    grouped = parts.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int"))
+    n_items = sizes.agg(F.sum(part_count(capacity))).first()[0] or 0
+    n_groups = max(1, -(-n_items // group_items))
+    grouped = parts.withColumn("grp", F.pmod(F.xxhash64("id", "part"), F.lit(n_groups)).cast("int"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "id", "part"], ascending=[False, True, True], kind="stable")

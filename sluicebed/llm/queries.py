@@ -15,7 +15,7 @@ from .defects import FIELDS as P6_FIELDS
 from .defects import defect_report, find_defects
 from .leakage import leaked_items, leaked_spans
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs, stacked_texts
-from .packing import pack, packing_report, token_sizes
+from .packing import pack, packing_report, part_count, token_sizes
 from .pieces import split_oversized
 from .related_splits import assign_splits, related_groups, split_report
 from .verdicts import named_label
@@ -38,6 +38,10 @@ def p1_items(spark: SparkSession, d: str) -> DataFrame:
     return consensus(table(spark, d, "train_flagged"), "id", "votes")[0]
 
 
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return p1_items(spark, d).select("id", "n_votes", "agreement", "plurality", "plurality_votes")
+
+
 def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
     return consensus(table(spark, d, "train_flagged"), "id", "votes")[1]
 
@@ -115,6 +119,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
+    capacity = _limits(spark, d, "container")[0]
+    return token_sizes(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "n_tokens", part_count(capacity).alias("n_parts"))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p7_containers(spark, d).withColumnRenamed("doc_id", "id"), _limits(spark, d, "container")[0])
 
@@ -145,9 +154,9 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-_NAMES = """p1_found p1_items p1_annotators p2_found p2_report p2_sample
+_NAMES = """p1_found p1_items p1_agreement p1_annotators p2_found p2_report p2_sample
 p3_found p3_splits p3_report p4_found p4_groups p5_found p5_report
-p6_found p6_report p7_containers p7_report p8_found p8_spans p8_items p9_found p9_pieces""".split()
+p6_found p6_report p7_containers p7_sizes p7_report p8_found p8_spans p8_items p9_found p9_pieces""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
