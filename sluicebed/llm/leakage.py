@@ -94,7 +94,8 @@ def leaked_spans(corpus: DataFrame, id_column: str, text_column: str, items: Dat
     found = _fingerprint_rows(docs, "doc_id").join(F.broadcast(test) if small else test, "hash")
     # Hits of one shared passage lie on one diagonal; a document's diagonals with one item text are few.
     hits = settle(found.select("doc_id", "part", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
-    texts = keyed.select("part", "item_id", "field", F.col("text").alias("item_text"))
+    # Only texts that have fingerprints, one for every few words, so their size is bounded with the number of those.
+    texts = keyed.join(test.select("part").distinct(), "part", "left_semi").select("part", "item_id", "field", F.col("text").alias("item_text"))
     rows = hits.join(F.broadcast(texts) if small else texts, "part").join(docs, "doc_id").select("doc_id", "item_id", "field", "shift", "text", "item_text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
