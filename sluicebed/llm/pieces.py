@@ -1,8 +1,8 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
 Method: balanced targets. The smallest piece count that can hold the text gives equal-length targets;
-each inner cut is snapped to the strongest boundary near its target, and a piece is added whenever a
-snapped piece breaks the limit.
+each inner cut is snapped to the strongest boundary near its target, and a piece is added whenever the
+limit keeps a cut from such a boundary.
 """
 
 from __future__ import annotations
@@ -39,27 +39,42 @@ def boundary_strength(text: str, spans: list[tuple[int, int]], at: int) -> int:
 
 
 def cut_points(text: str, spans: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Token ranges [start, end) of the pieces of a text; neighbours share ``overlap`` tokens."""
+    """Token ranges [start, end) of the pieces of a text; neighbours share ``overlap`` tokens.
+
+    A cut is snapped within ``REACH`` of its target, but never beyond the limit from the start of its
+    piece nor so early that the pieces left could not hold the rest. If that keeps a cut from a
+    sentence end or better that stands within its reach, there is a piece more, at most an eighth of
+    the least number more, and two.
+    """
     n = len(spans)
     if n <= limit:
         return [(0, n)]
     step, reach = limit - overlap, int(limit * REACH)
     least = -(-(n - overlap) // step)
-    for k in range(least, min(2 * least + 2, n - overlap) + 1):
-        ends, ok = [], True
+    known: dict[int, int] = {}
+
+    def strength(at: int) -> int:
+        if at not in known:
+            known[at] = boundary_strength(text, spans, at)
+        return known[at]
+
+    ends: list[int] = []
+    for k in range(least, min(least + least // 8 + 2, n - overlap) + 1):
+        ends, natural = [], True
         for i in range(1, k):
             target = overlap + (i * (n - overlap)) // k
             before = ends[-1] if ends else overlap
-            low, high = max(before + 1, target - reach), min(n - 1, target + reach)
-            if low > high:
-                ok = False
-                break
-            ends.append(max(range(low, high + 1), key=lambda e: (boundary_strength(text, spans, e), -abs(e - target))))
-        ends.append(n)
-        starts = [0] + [e - overlap for e in ends[:-1]]
-        if ok and all(e - s <= limit for s, e in zip(starts, ends)):
-            return list(zip(starts, ends))
-    ends = [overlap + (i * (n - overlap)) // least for i in range(1, least)] + [n]
+            first, last = max(before + 1, n - (k - i) * step), min(n - 1, before + step)
+            low, high = max(first, target - reach), min(last, target + reach)
+            if low > high:  # the reach ends before the cut may begin, or begins after it must have been made
+                low = high = first if target + reach < first else last
+            cut = max(range(low, high + 1), key=lambda e: (strength(e), -abs(e - target)))
+            if strength(cut) < 3 and any(strength(e) >= 3 for e in range(max(before + 1, target - reach), min(n - 1, target + reach) + 1)):
+                natural = False
+            ends.append(cut)
+        if natural:
+            break
+    ends.append(n)
     return list(zip([0] + [e - overlap for e in ends[:-1]], ends))
 
 
