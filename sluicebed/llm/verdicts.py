@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The five verdicts in their usual order.
-VERDICTS = ["adequate", "gives_final_answer", "gives_away_key_step", "mismatched_calibration", "vague_unhelpful"]
+from ..functions.verdicts import VERDICTS
 
 
 def named_label(text: Column, labels: list[str] = VERDICTS) -> Column:
