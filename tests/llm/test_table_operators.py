@@ -67,6 +67,42 @@ def test_consensus_edges(spark):
     assert none.count() == 0 and nobody.count() == 0
 
 
+def reliabilities(spark, rows):
+    _, annotators = consensus(spark.createDataFrame(rows, "id string, votes map<string,string>"), "id", "votes")
+    return {r.annotator: r.reliability for r in annotators.collect()}
+
+
+def test_opposed_annotators(spark):
+    rng = random.Random(3)
+    pairs = [rng.sample(VERDICTS, 2) for _ in range(100)]
+    two = reliabilities(spark, [(f"i{k}", {"a": x, "b": y}) for k, (x, y) in enumerate(pairs)])
+    assert two["a"] <= 0 and two["b"] <= 0
+    three = reliabilities(spark, [(f"i{k}", {"a": x, "b": x, "c": y}) for k, (x, y) in enumerate(pairs)])
+    assert three["a"] > 0.5 and three["b"] > 0.5 and three["c"] < 0
+    apart = reliabilities(spark, [("i", {"a": "adequate"}), ("j", {"b": "adequate"})])
+    assert apart == {"a": None, "b": None}
+
+
+def test_reliabilities_are_those_of_the_leading_eigenvector(spark, monkeypatch):
+    from sluicebed.llm import consensus as C
+
+    _, rows = simulated(4, n=200)
+    votes = C.usable_votes(spark.createDataFrame(rows, "id string, votes map<string,string>"), "id", "votes")
+    entries = C.agreement_matrix(votes).collect()
+    names = sorted({r.i for r in entries})
+    m = np.zeros((len(names), len(names)))
+    for r in entries:
+        m[names.index(r.i), names.index(r.j)] = r.c
+    np.fill_diagonal(m, np.maximum(np.where(np.eye(len(names)) == 1, -np.inf, m).max(axis=1), 0))
+    values, vectors = np.linalg.eigh(m)
+    want = vectors[:, -1] * np.sqrt(values[-1]) * np.sign(vectors[:, -1].sum())
+    got = {r.annotator: r.reliability for r in C.spectral_reliability(votes).collect()}
+    assert np.allclose([got[n] for n in names], want, atol=1e-4)
+    monkeypatch.setattr(C, "_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        C.spectral_reliability(votes)
+
+
 def test_newton_and_pivotal():
     counts, wanted = np.array([100.0, 40.0, 7.0]), np.array([10.0, 20.0, 6.0])
     assert np.allclose(newton_tilt(counts, wanted, 0.2) * counts, wanted)
@@ -114,6 +150,9 @@ def test_calibrated_sample(spark):
         ("Nela buys 25 boxes.", "Nela buys 26 boxes.", False),
         ("Nela buys 25 boxes.", "Vera buys 25 boxes.", False),
         ("It costs two hundred and five coins.", "It costs 205 coins.", True),
+        ("Take 30 of the 25 cm and 17 more.", "Take thrity of the twetny-five cnetimeters and sevneteen more.", True),
+        ("There are three.", "There are 3.", True),
+        ("There are 3.", "Three are 3.", False),
         ("It costs 12 and 5 coins.", "It costs twelve and five coins.", True),
     ],
 )

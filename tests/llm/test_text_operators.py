@@ -1,6 +1,7 @@
 """Defects, packing, leakage, pieces."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from sluicebed.llm import defects as D
 from sluicebed.llm.leakage import K, WINDOW, fingerprints, leaked_items, leaked_spans
 from sluicebed.llm.packing import best_fit_decreasing, pack, packing_report, token_sizes
-from sluicebed.llm.pieces import cut_points, split_oversized
+from sluicebed.llm.pieces import boundary_strength, cut_points, split_oversized
 from sluicebed.llm.tokens import TOKEN
 from sluicebed.llm.words import WordHashes, words
 
@@ -32,6 +33,48 @@ def test_defect_kinds(text, kind):
     assert D.defect_of(text, OWN) == kind
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Compute y = 2 x plus 5.", None), ("y = 3x + 7, correct?", None), ("Die 3 is red, sum x + y per row.", None), ("Plus 5 y, minus 3 x!", None), ("Total: 5 per son.", None),
+        ("I am not sure my earlier answer was right, so let me review it.", None), ("You should not skip steps; show me how you answer part b.", None), ("I think you can't write it that way. Try again.", None), ("I do not think the last answer helps you.", None),
+        ("I am not certain, but let us look at it together.", None), ("My tutor does not help me, she says. What does she do?", None),
+        ("I will not assess this message.", "refusal"), ("It is not my place to review this.", "refusal"), ("We are not able to discuss the matter here.", "refusal"), ("Since I can't comply, I stop here.", "refusal"),
+        ("Do it like this:\n1. Add the numbers.\n2. Subtract the sm", "truncated"), ("Steps:\n1. Add 3\n2. Take 4 and the", "truncated"), ("Steps:\n1. Add 3\n2. Take 4 boxes", None), ("Do this:\n- Add the 3.\n- Take 4.", None), ("- one;\n- two;\n- thr", "truncated"),
+        ("This is <b>bold and <i>both.", "truncated"), ("This is <b>bold</b> and <i>slanted</i>.", None), ("<p>Look at it again.</p>", None), ("Look at it again.</p", "truncated"), ("<ul><li>Add 3.</li><li>Take 4.</ul>", None), ("So a < b and c > d here.", None),
+        ("See \\(x + 2 for it.", "truncated"), ("See \\(x + 2\\) for it.", None), ("Let $$x = 2$$ be given.", None), ("\\begin{align} x = 2.", "truncated"), ("Use ```x = (1``` for it.", None), ("«Look at (the 3) and [the 4].»", None),
+    ],
+)
+def test_defects_of_sentences_not_used_for_the_rules(text, kind):
+    assert D.defect_of(text, OWN) == kind
+
+
+def slow_tiles(a, b, shortest=2):
+    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    for n in range(min(len(a), len(b)), shortest - 1, -1):
+        i = 0
+        while i + n <= len(a):
+            j = next((j for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n] and all(free_a[i : i + n]) and all(free_b[j : j + n])), None)
+            if j is not None:
+                free_a[i : i + n] = free_b[j : j + n] = [False] * n
+                covered += n
+            i += 1 if j is None else n
+    return covered
+
+
+def test_tiling_equals_brute_force_and_stays_fast():
+    rng = random.Random(6)
+    for _ in range(300):
+        letters = "ab" if rng.random() < 0.5 else "abcdef"
+        a, b = rng.choices(letters, k=rng.randint(0, 30)), rng.choices(letters, k=rng.randint(0, 30))
+        assert D.tiled_words(a, b) == slow_tiles(a, b)
+    began = time.perf_counter()
+    for n in (2000, 20_000):
+        D.tiled_words(["the", "cat"] * n, ["cat", "the", "the"] * n)
+        D.tiled_words(rng.choices("ab", k=n), rng.choices("ab", k=n))
+    assert time.perf_counter() - began < 20
+
+
 def test_tiling_equals_its_definition():
     rng = random.Random(1)
     for _ in range(200):
@@ -99,6 +142,12 @@ def test_packing(spark):
     assert pack(token_sizes(df.limit(0), "doc", "text"), 100).count() == 0
 
 
+def test_parts_of_one_item_are_spread(spark):
+    df = spark.createDataFrame([(1, 100_000), (2, 30), (3, None)], "id int, n_tokens bigint").na.fill(0)
+    got = pack(df, 10, group_items=500).collect()
+    assert len(got) == 10_004 and sum(r.n_tokens for r in got) == 100_030 and len({r.container_id >> 32 for r in got}) > 15
+
+
 def test_winnowing_guarantee():
     rng = random.Random(3)
     hashes = WordHashes()
@@ -163,6 +212,17 @@ def test_pieces_prefer_boundaries():
     assert cut_points(text, spans, 80, 0) == [(0, 62), (62, 112)]
 
 
+def test_pieces_of_a_long_text():
+    rng = random.Random(9)
+    text = " ".join(" ".join(["word"] * rng.randint(4, 24)) + rng.choice([".", ".", "?", ".\n\n"]) for _ in range(28_000))
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    cuts = cut_points(text, spans, 512, 64)
+    least = -(-(len(spans) - 64) // 448)
+    natural = sum(boundary_strength(text, spans, e) >= 3 for _, e in cuts[:-1])
+    assert len(spans) > 400_000 and least <= len(cuts) <= least + least // 16 and natural == len(cuts) - 1
+    assert all(e - s <= 512 for s, e in cuts)
+
+
 def test_pieces_table(spark):
     rng = random.Random(5)
     rows = [(i, text_of(rng, n)) for i, n in enumerate([10, 200, 900, 2000, 20_000])] + [(50, None), (51, ""), (None, "a " * 200), (52, "ü" * 5000), (53, "a" + "-" * 300)]
