@@ -54,7 +54,7 @@ def spectral_reliability(votes: DataFrame, prior: float = OVERLAP_PRIOR) -> Data
     """(annotator, n_votes, reliability): the leading eigenvector, scaled so that the agreement of two
     annotators is about the product of their reliabilities; null for those who share no item.
 
-    The matrix is shifted by its largest row sum, so that no eigenvalue is negative and the iteration
+    By its row sums no eigenvalue is below some -g. The matrix is shifted by g / 2, so that the iteration
     leads to the largest one, never to a large negative one, which is disagreement. The majority of
     the weight counts as right, the rest gets negative reliabilities. All are 0 if no common opinion
     exists or if the annotators split into two equal camps, of which either may be right. Raises if the
@@ -63,22 +63,23 @@ def spectral_reliability(votes: DataFrame, prior: float = OVERLAP_PRIOR) -> Data
     pairs = settle(agreement_matrix(votes, prior), "agreement")
     # The diagonal is not observed; as in factor analysis the largest entry of the row stands for it.
     own = pairs.groupBy("i").agg(F.greatest(F.max("c"), F.lit(0.0)).alias("c"), F.sum(F.abs("c")).alias("row"))
-    shift = own.agg(F.max(F.col("row") + F.col("c"))).first()[0] or 0.0
+    bounds = own.agg(F.max(F.col("row") + F.col("c")).alias("top"), F.max(F.col("row") - F.col("c")).alias("g")).first()
+    top, shift = bounds.top or 0.0, max(bounds.g or 0.0, 0.0) / 2
     matrix = settle(pairs.select("i", "j", "c").unionByName(own.select("i", F.col("i").alias("j"), (F.col("c") + F.lit(shift)).alias("c"))), "matrix")
     # Not all entries alike at the start: a vector without a share of the leading one would never find it.
     x = settle(own.select("i", (F.lit(1.0) + F.pmod(F.xxhash64("i"), F.lit(1000)) / 10_000).alias("x")), "vector")
-    value, settled = 0.0, shift == 0
-    for _ in range(_ROUNDS if shift else 0):
+    value, settled = 0.0, top == 0
+    for _ in range(_ROUNDS if top else 0):
         y = x
         for _ in range(_STEPS):
-            y = matrix.join(y.withColumnRenamed("i", "j"), "j").groupBy("i").agg((F.sum(F.col("c") * F.col("x")) / F.lit(2 * shift)).alias("x"))
-        # after the steps the vector has grown by the eigenvalue, over twice the shift, to the power of their number
+            y = matrix.join(y.withColumnRenamed("i", "j"), "j").groupBy("i").agg((F.sum(F.col("c") * F.col("x")) / F.lit(top + shift)).alias("x"))
+        # after the steps the vector has grown by the shifted eigenvalue, over its bound, to the power of their number
         y = settle(y.select("i", F.col("x").alias("raw")).join(x, "i"), "vector")
         s = y.agg(F.sum(F.col("raw") * F.col("raw")).alias("yy"), F.sum(F.col("raw") * F.col("x")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx")).first()
         release(x)
         x = y.select("i", (F.col("raw") / F.lit(math.sqrt(s.yy))).alias("x"))
         x.settled_path = y.settled_path
-        value = (s.xy / s.xx) ** (1 / _STEPS) * 2 * shift - shift
+        value = (s.xy / s.xx) ** (1 / _STEPS) * (top + shift) - shift
         settled = 1 - s.xy / math.sqrt(s.yy * s.xx) < _TOLERANCE**2
         if settled:
             break
@@ -86,7 +87,7 @@ def spectral_reliability(votes: DataFrame, prior: float = OVERLAP_PRIOR) -> Data
         raise RuntimeError(f"the reliabilities have not settled after {_STEPS * _ROUNDS} steps")
     both = x.agg(F.sum("x").alias("total"), F.sum(F.abs("x")).alias("size")).first()
     one_sided = both.size is not None and abs(both.total) > 1e-3 * both.size
-    factor = math.copysign(math.sqrt(max(value, 0.0)), both.total) if one_sided and value > 1e-9 * shift else 0.0
+    factor = math.copysign(math.sqrt(max(value, 0.0)), both.total) if one_sided and value > 1e-9 * top else 0.0
     counts = votes.groupBy("annotator").agg(F.count("*").alias("n_votes"))
     found = x.select(F.col("i").alias("annotator"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x") * F.lit(factor))).alias("reliability"))
     return counts.join(found, "annotator", "left").select("annotator", "n_votes", "reliability")
