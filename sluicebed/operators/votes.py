@@ -19,15 +19,15 @@ def top_votes(votes: DataFrame, key: str, label: str) -> DataFrame:
     return counted.groupBy(key).agg(best.alias("b"), F.sum("n").alias("n_valid")).select(key, F.col("b.l").alias("top"), F.col("b.n").alias("top_n"), "n_valid")
 
 
-def strict_consensus(votes: DataFrame, current: DataFrame, key: str, label: str) -> DataFrame:
+def strict_consensus(votes: DataFrame, current: DataFrame, key: str, label: str, n_models: int | None = None) -> DataFrame:
     """(key, current, majority, n_agree, n_models, category).
 
-    More than half of all votes cast, unusable ones included in the divisor, make a consensus: CONFIRM
-    if it is the current label, CHANGE if not; else NO_CONSENSUS.
+    More than half of the ``n_models`` that were asked make a consensus, by default of all votes that the
+    item has, unusable ones included: CONFIRM if it is the current label, CHANGE if not; else NO_CONSENSUS.
     """
-    cast = votes.groupBy(key).agg(F.count("*").alias("n_models"))
+    cast = votes.groupBy(key).agg((F.count("*") if n_models is None else F.lit(n_models).cast("bigint")).alias("n_models"))
     joined = current.join(cast, key, "left").join(top_votes(votes, key, label), key, "left")
-    n, models = F.coalesce("top_n", F.lit(0)), F.coalesce("n_models", F.lit(0))
+    n, models = F.coalesce("top_n", F.lit(0)), F.coalesce("n_models", F.lit(n_models or 0).cast("bigint"))
     category = F.when(n * 2 > models, F.when(F.col("top") == F.col("current"), "CONFIRM").otherwise("CHANGE")).otherwise("NO_CONSENSUS")
     return joined.select(key, "current", F.col("top").alias("majority"), n.alias("n_agree"), models.alias("n_models"), category.alias("category"))
 

@@ -13,8 +13,9 @@ from ..functions.verdicts import VERDICTS, is_valid
 from ..operators import dedup
 from ..session import table
 from ..sources import dialogues, generators, jsonl, logs, reports
-from .catalog import GOLD, VERDICT_LIST, gold, query
+from .catalog import GOLD, VERDICT_LIST, WITH_PREDS, gold, query
 from .lineage import shared_dir
+from .metric_queries import _LEAK_COLS, _LEAK_SQL, binary_prf
 from .text_queries import _REC, _records
 
 c = F.col
@@ -201,11 +202,10 @@ def training_log(spark, d):
     return best.select(F.regexp_extract("file", r"log=(\d+)", 1).alias("log"), "kind", c("iteration").cast("bigint").alias("iteration"), "loss")
 
 
-@query()
+@query(f"""{WITH_PREDS}, {_LEAK_SQL}, m AS (SELECT model, {_LEAK_COLS} FROM l)
+SELECT model, printf('%.1f%%', round_even(accuracy * 100, 1)) AS accuracy, printf('%+.3f', round_even(recall - precision, 3)) AS gap, printf('%.2f [%.2f,%.2f]', round_even(f1, 2), round_even(precision, 2), round_even(recall, 2)) AS cell FROM m""")
 def formatted_report(spark, d):
-    """Cells of a report; text formatting differs between engines, so only the rows are checked."""
-    from .metric_queries import binary_prf
-
+    """Cells of a report."""
     m = binary_prf(spark, d)
     return m.select("model", reports.percent(c("accuracy")).alias("accuracy"), reports.signed(c("recall") - c("precision")).alias("gap"), reports.interval_cell(c("f1"), c("precision"), c("recall")).alias("cell"))
 

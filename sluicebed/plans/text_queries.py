@@ -252,12 +252,22 @@ def common_prefix_split(spark, d):
     return out.where("rejected <> chosen")
 
 
-@query()
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END))"
+
+
+@query(f"""WITH t AS (SELECT {_CRC_TABLE} AS tab), b AS (SELECT DISTINCT id, list_transform(string_split('0-' || id, ''), lambda ch: unicode(ch)::BIGINT) AS bytes FROM v1_test)
+SELECT id, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c // 256)), 4294967295::BIGINT) AS crc FROM b, t""")
 def checksum_seeds(spark, d):
-    """crc32 of id and seed; DuckDB has no crc32, so only the rows are checked."""
+    """crc32 of seed and id; the statement works it out byte by byte for ASCII ids."""
     return table(spark, d, "v1_test").select("id", F.crc32(F.concat(F.lit("0-"), "id").cast("binary")).alias("crc")).distinct()
 
 
+@query("SELECT event_id, round_even(event_id % 1000 / 8.0::DOUBLE, 2) AS rounded FROM events")
+def half_even_rounding(spark, d):
+    """Halves go to the even digit, as reports have it."""
+    return table(spark, d, "events").select("event_id", F.bround((F.col("event_id") % 1000) / 8, 2).alias("rounded"))
+
+
 # -- model outputs: recorded texts made from the records by a fixed rule ---------------------------
 
 _FORM = "substr(md5(id || '-out'), 1, 1)"
@@ -310,7 +320,7 @@ def output_schema_errors(spark, d):
     return outputs(spark, d).select("id", F.array_join(jsonx.output_errors(F.col("raw")), "; ").alias("errors"))
 
 
-@query()
+@query(f"WITH {_REC} SELECT id, CASE WHEN {_FORM} < '6' THEN coalesce(reasoning, '') END AS reasoning, CASE WHEN {_FORM} < '6' THEN rewritten_message END AS rewritten_message FROM r WHERE {_FORM} < '6' OR {_FORM} >= 'c' AND {_FORM} < 'e'")
 def output_round_trip(spark, d):
     """Serialized outputs parsed again; nulls survive."""
     v = jsonx.parsed_variant(F.col("raw"))

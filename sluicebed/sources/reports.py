@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 
 def percent(c: Column, digits: int = 1) -> Column:
-    """A share as a percentage; n/a for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f%%", c * 100), F.lit("n/a"))
+    """A share as a percentage; n/a for null. Halves go to the even digit, here and below."""
+    return F.coalesce(F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits)), F.lit("n/a"))
 
 
 def signed(c: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%+.{digits}f", c), F.lit("n/a"))
+    return F.coalesce(F.format_string(f"%+.{digits}f", F.bround(c, digits)), F.lit("n/a"))
 
 
 def interval_cell(mean: Column, low: Column, high: Column) -> Column:
     """``mean [low,high]`` with two digits; n/a if there is no mean."""
-    return F.when(mean.isNull(), F.lit("n/a")).otherwise(F.format_string("%.2f [%.2f,%.2f]", mean, low, high))
+    return F.when(mean.isNull(), F.lit("n/a")).otherwise(F.format_string("%.2f [%.2f,%.2f]", *(F.bround(x, 2) for x in (mean, low, high))))
 
 
 def markdown_table(df: DataFrame, order: list[str], limit: int = 1000) -> str:

@@ -129,6 +129,13 @@ def test_consensus_ties_and_divisor(spark):
     assert got == {"1": ("adequate", 2, "NO_CONSENSUS"), "2": ("adequate", 1, "NO_CONSENSUS"), "3": (None, 0, "NO_CONSENSUS")}
 
 
+def test_consensus_of_all_models_asked(spark):
+    v = spark.createDataFrame([("1", "a", "adequate"), ("1", "b", "adequate"), ("2", "a", "adequate")], "id string, model string, vote string")
+    cur = spark.createDataFrame([("1", "vague_unhelpful"), ("2", "adequate"), ("3", None)], "id string, current string")
+    got = {r.id: (r.n_models, r.category) for r in votes.strict_consensus(v, cur, "id", "vote", n_models=3).collect()}
+    assert got == {"1": (3, "CHANGE"), "2": (3, "NO_CONSENSUS"), "3": (3, "NO_CONSENSUS")}
+
+
 def test_scorer_failures(spark):
     def broken(pdf):
         if (pdf["x"] == 2).any():
