@@ -3,7 +3,8 @@
 Every node keeps a cluster of nodes, at first itself and its neighbours. In each round a node sends
 its whole cluster to the smallest node in it, and that smallest node to all others of the cluster,
 until nothing changes; then every node knows the smallest node of its component. Clusters are rows
-(node, member), never collected values, so a component may hold any share of the graph.
+(node, member), never collected values, so a component may hold any share of the graph. The cluster
+of its smallest node is then one key of a join with a single row, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import settle
+from ..plans.lineage import release, settle
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +30,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = clusters.groupBy("u").agg(F.min("v").alias("m"))
         sent = clusters.join(least, "u").select("v", "m")
         nodes = sent.select(F.col("m").alias("u"), "v").unionByName(sent.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        clusters = settle(nodes.distinct(), "clusters")
+        last, clusters = clusters, settle(nodes.distinct(), "clusters")
+        release(last)
         now = clusters.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == now:
             return clusters.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
