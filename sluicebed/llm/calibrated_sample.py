@@ -22,7 +22,7 @@ BLOCK = 20_000
 MAX_CATEGORIES = 10_000
 
 
-def newton_tilt(counts: np.ndarray, targets: np.ndarray, base: float, features: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
+def newton_tilt(counts: np.ndarray, targets: np.ndarray, base: float, features: np.ndarray | None = None, steps: int = 100) -> np.ndarray:
     """Inclusion probabilities base * exp(features @ lambda) per category that meet the target sums.
 
     Minimises the dual sum(counts * base * exp(A l)) - t l by damped Newton steps. ``features`` are
@@ -42,7 +42,10 @@ def newton_tilt(counts: np.ndarray, targets: np.ndarray, base: float, features:
         gap = (expected if features is None else features.T @ expected) - targets
         if np.abs(gap).max(initial=0) < 1e-12 * max(1.0, targets.sum()):
             break
-        step = gap / np.maximum(expected, 1e-300) if features is None else np.linalg.solve((features.T * expected) @ features + 1e-12 * np.eye(len(lam)), gap)
+        if features is None:  # the categories are independent of each other, so each is damped on its own
+            lam = lam - np.clip(gap / np.maximum(expected, 1e-300), -2, 2)
+            continue
+        step = np.linalg.solve((features.T * expected) @ features + 1e-12 * np.eye(len(lam)), gap)
         size = 1.0
         while size > 1e-8 and not dual(lam - size * step) <= dual(lam):
             size /= 2
@@ -71,15 +74,16 @@ def sampling_plan(df: DataFrame, id_column: str, categories: dict[str, Column],
         raise ValueError(f"more than {MAX_CATEGORIES} target categories")
     size = math.ceil(round(records.count() * share, 9))
     plan = [r.asDict() | {"wanted": max(r.min_rows, math.ceil(round(r.target_share * size, 9)))} for r in rows]
-    open_ = [p for p in plan if 0 < p["wanted"] < p["available"]]
     for p in plan:
-        p["taken"] = min(p["wanted"], p["available"])
+        p["taken"], p["probability"] = 0, 0.0
+    asked = [p for p in plan if p["wanted"] > 0 and p["available"] > 0]
+    # A probability above 1 is a target that the category cannot fill: it is taken whole and the rest reported.
+    tilted = newton_tilt(np.array([p["available"] for p in asked], float), np.array([p["wanted"] for p in asked], float), share) if asked else []
+    for p, q in zip(asked, tilted):
+        p["taken"] = min(p["available"], round(float(q) * p["available"]))
+        p["probability"] = 1.0 if p["taken"] == p["available"] else float(q)
+    for p in plan:
         p["gap"] = p["wanted"] - p["taken"]
-        p["probability"] = 1.0 if p["available"] and p["taken"] == p["available"] else 0.0
-    if open_:
-        tilted = newton_tilt(np.array([p["available"] for p in open_], float), np.array([p["wanted"] for p in open_], float), share)
-        for p, q in zip(open_, tilted):
-            p["probability"] = round(float(min(1.0, q)), 9)
     return records, sorted(plan, key=lambda p: [str(p[n]) for n in names])
 
 
@@ -142,4 +146,4 @@ def plan_table(records: DataFrame, plan: list[dict], names: list[str]) -> DataFr
     schema = records.select(*names).schema
     for f in fields:
         schema = schema.add(f, "double" if f in ("target_share", "probability") else "long")
-    return records.sparkSession.createDataFrame([tuple(p[n] for n in [*names, *fields]) for p in plan], schema)
+    return records.sparkSession.createDataFrame([tuple(round(p[n], 9) if n == "probability" else p[n] for n in [*names, *fields]) for p in plan], schema)
