@@ -106,6 +106,8 @@ def test_reliabilities_are_those_of_the_leading_eigenvector(spark, monkeypatch):
 def test_newton_and_pivotal():
     counts, wanted = np.array([100.0, 40.0, 7.0]), np.array([10.0, 20.0, 6.0])
     assert np.allclose(newton_tilt(counts, wanted, 0.2) * counts, wanted)
+    far, few = np.array([1e9, 3.0, 1.0, 5e6]), np.array([1.0, 900.0, 1e6, 5e6])
+    assert np.allclose(newton_tilt(far, few, 1e-4) * far, few)
     margins = np.array([[1, 0, 1.0], [1, 0, 0], [0, 1, 1.0]])
     p = newton_tilt(counts, np.array([30.0, 5.0, 20.0]), 0.2, margins)
     assert np.allclose(margins.T @ (p * counts), [30, 5, 20], atol=1e-5)
