@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import release, settle
 from .components import component_labels
-from .signatures import class_texts, keyed_texts, long_list_pairs, matched, merge_lists, merge_postings, postings
+from .signatures import class_texts, keyed_texts, layout, long_list_pairs, merge_lists, merge_postings, postings
 from .words import likeness, word_bytes
 
 MIN_WORDS, MIN_LIKENESS = 12, 0.7
@@ -32,10 +32,13 @@ def stacked_texts(sources: list[tuple[int, int, DataFrame, str, str]]) -> DataFr
     return reduce(DataFrame.unionByName, [df.select(F.lit(side).alias("side"), F.lit(field).alias("field"), F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text")) for side, field, df, key, text in sources])
 
 
-def verified_links(texts: DataFrame, candidates: DataFrame, min_likeness: float) -> DataFrame:
-    """Candidates (a, b) whose texts, those of ``texts`` (cls, text), have the likeness: (a, b, likeness)."""
-    a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
+def verified_links(classes: DataFrame, candidates: DataFrame, min_likeness: float) -> DataFrame:
+    """Candidates (a, b), numbers of classes (no, cls, text), whose texts have the likeness.
+
+    (a, b, likeness): the ids ``cls`` of the classes, a < b.
+    """
+    a = classes.select(F.col("no").alias("a"), F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
+    b = classes.select(F.col("no").alias("b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split: dict[str, list[bytes]] = {}
@@ -53,17 +56,17 @@ def verified_links(texts: DataFrame, candidates: DataFrame, min_likeness: float)
             for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 value = likeness(tokens(s), tokens(t))
                 if value >= min_likeness:
-                    out.append((x, y, value))
+                    out.append((min(x, y), max(x, y), value))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_LINKS_ARROW)], schema=_LINKS_ARROW)
 
-    return candidates.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(scan, _LINKS)
+    return candidates.join(a, "a").join(b, "b").select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(scan, _LINKS)
 
 
 def read_classes(texts: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of a table (side, field, id, text).
 
     ``members`` (side, field, id, cls) gives the class of every text with at least ``min_words`` words;
-    texts with the same bag of words in the same field share a class. ``classes`` (cls, field, sides,
+    texts with the same bag of words in the same field share a class. ``classes`` (no, cls, field, sides,
     text) has one text of each. Null ids, null and short texts belong to no class; repeated rows count
     once; an empty table gives empty results. Two 64-bit class ids could coincide by chance: about once
     in 10^4 collections of 10^8 distinct texts.
@@ -79,7 +82,7 @@ def find_links(texts: DataFrame, min_words: int = MIN_WORDS, min_likeness: float
     field with at least ``min_likeness``, a < b; with ``cross`` only if a record of side 0 and one of
     side 1 are linked by it."""
     members, classes = read_classes(texts, min_words)
-    candidates = settle(merge_postings(postings(classes), cross, min_likeness), "candidates")
+    candidates = settle(merge_postings(postings(classes, *layout(classes.count(), min_likeness)), cross, min_likeness), "candidates")
     links = settle(verified_links(classes, candidates, min_likeness), "links")
     release(candidates)
     release(classes)
@@ -138,19 +141,16 @@ def near_duplicate_groups(texts: DataFrame, field_names: list[str], min_words: i
     to its smallest one first, and only classes that this leaves apart meet the others of their lists.
     """
     members, classes = read_classes(texts, min_words)
-    pairs, long = merge_lists(postings(classes), False, min_likeness)
+    pairs, long = merge_lists(postings(classes, *layout(classes.count(), min_likeness)), False, min_likeness)
     if long.isEmpty():
-        links = settle(verified_links(classes, matched(pairs), min_likeness), "links")
+        links = settle(verified_links(classes, pairs, min_likeness), "links")
     else:
-        hot = long.select("cls").distinct()
-        n = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
-        # A pair with one short list in common may have a long one too, if both stand in such lists.
-        once = n.where("n = 1").join(hot.withColumnRenamed("cls", "a"), "a", "left_semi").join(hot.withColumnRenamed("cls", "b"), "b", "left_semi")
         star = long.join(long.groupBy("v").agg(F.min("cls").alias("a")), "v").where("a < cls").select("a", F.col("cls").alias("b"))
-        first = n.where("n > 1").select("a", "b").unionByName(once.select("a", "b")).unionByName(star).distinct()
-        links = settle(verified_links(classes, first, min_likeness), "links")
-        apart = matched(long_list_pairs(long, False, min_likeness, _labels(links).withColumnRenamed("node", "cls")))
+        links = settle(verified_links(classes, pairs.unionByName(star).distinct(), min_likeness), "links")
+        labels = classes.select("no", "cls").join(_labels(links).withColumnRenamed("node", "cls"), "cls").select(F.col("no").alias("cls"), "label")
+        apart = long_list_pairs(long, False, min_likeness, labels)
         links = links.unionByName(settle(verified_links(classes, apart, min_likeness), "links"))
+    release(classes)
     copies = members.groupBy("cls").agg(F.count("*").alias("n_copies"))
     rows = members.join(copies, "cls").join(_labels(links).withColumnRenamed("node", "cls"), "cls", "left").where("n_copies > 1 or label is not null").withColumn("label", F.coalesce("label", "cls"))
     smallest = rows.groupBy("field", "label").agg(F.min("id").alias("group_id"))

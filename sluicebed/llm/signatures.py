@@ -2,8 +2,8 @@
 
 Each text is the set of its (word, occurrence) elements, all of the same weight, so that the chance
 to find a pair follows from its likeness alone, however many texts of the collection share its words.
-A coordinate of a signature is a hash of ``rows`` minwise values. The coordinates draw on a common
-stock of ``BASES`` minwise values, each coordinate on different ones, as most of the work is in these.
+A coordinate of a signature is a hash of ``rows`` minwise values; ``layout`` gives their numbers. The
+coordinates draw on a common stock of minwise values, each on different ones, as most of the work is in these.
 Texts with the same bag of words are one class, which is signed and posted once.
 README.md has the measured recall.
 """
@@ -20,17 +20,23 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle
 from .words import WordHashes, bag_hash, word_bytes
 
-COORDINATES, ROWS, MATCHES = 50, 6, 2
-#: Minwise values computed of a text, unless its coordinates need fewer.
-BASES = 200
-#: Postings are several times as large as the texts, so their shuffle has so many times the usual partitions.
+#: Coordinates in which a candidate pair agrees.
+MATCHES = 2
+#: By ``layout``: the chance to miss a pair of the least likeness, were all coordinates independent; the
+#: likeness of texts that have nothing to do with each other; the minwise values of a coordinate.
+MISSED, UNLIKE, FEWEST, MOST = 0.015, 0.11, 6, 10
+#: Minwise values computed of a text for each one of a coordinate, unless its coordinates need fewer.
+BASES = 40
+#: Texts to sign and their postings, which are several times as large, have so many times the usual partitions.
 SPREAD = 3
 #: A posting list longer than this is not merged in one go but in cells; see ``merge_postings``.
 LONG_LIST = 256
 #: Classes of either side of a cell, on the average.
 CELL = 1024
+#: Classes of long lists that are sent whole to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Low bits of a posted value that hold the number of its coordinate.
-_TAG_BITS = 7
+_TAG_BITS = 8
 #: Texts signed at once, elements whose scores are kept, elements looked up at once.
 _SLICE, _ELEMENTS, _BLOCK = 2_000, 50_000, 2_000
 
@@ -41,8 +47,8 @@ _POSTING_ARROW = pa.schema([("v", pa.int64()), ("cls", pa.int64()), ("shape", pa
 _MOST_WORDS = (1 << 29) - 1
 _MERGED = "kind int, a bigint, b bigint"
 _MERGED_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-_PAIRS = "a bigint, b bigint, n int"
-_PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
+_PAIRS = "a bigint, b bigint"
+_PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,6 +57,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def layout(n: int, least: float) -> tuple[int, int]:
+    """(coordinates, rows) for ``n`` classes and pairs of a likeness of at least ``least``.
+
+    More rows let fewer unlike texts collide, but need more coordinates for the same chance to miss a
+    pair, ``MISSED``. A class is posted once per coordinate and collides with n * ``UNLIKE`` ** rows / 2
+    others in each; the sum of both is least. So the work per text grows with the logarithm of n.
+    """
+
+    def coordinates(rows: int) -> int:
+        p = min(least, 0.999) ** rows
+        return next(m for m in range(MATCHES, 1 << _TAG_BITS) if (1 - p) ** m + m * p * (1 - p) ** (m - 1) <= MISSED or m + 1 == 1 << _TAG_BITS)
+
+    return min((coordinates(rows) * (1 + n * UNLIKE**rows / 2), coordinates(rows), rows) for rows in range(FEWEST, MOST + 1))[1:]
+
+
 def keyed_texts(texts: DataFrame, min_words: int) -> DataFrame:
     """(side, field, id, cls, text) of a scan of ``texts`` (side, field, id, text).
 
@@ -88,16 +109,23 @@ def keyed_texts(texts: DataFrame, min_words: int) -> DataFrame:
 
 
 def class_texts(keyed: DataFrame) -> DataFrame:
-    """(cls, field, sides, text), a text of every class; ``sides`` has bit 1 for side 0 and bit 2 for side 1."""
-    return keyed.where("text is not null").groupBy("cls").agg(F.min("field").alias("field"), F.bit_or(F.col("side") + 1).alias("sides"), F.max("text").alias("text"))
+    """(no, cls, field, sides, text), a text of every class; ``sides`` has bit 1 for side 0 and bit 2 for side 1.
+
+    ``no`` numbers the classes; classes of one partition have numbers of the same high bits, so that
+    postings and pairs of numbers take less room than those of hashes. The result must be settled.
+    """
+    # The number of partitions is given, as signing takes far more time than the size of the texts suggests.
+    n = SPREAD * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.where("text is not null").repartition(n, "cls").groupBy("cls").agg(F.min("field").alias("field"), F.bit_or(F.col("side") + 1).alias("sides"), F.max("text").alias("text")).withColumn("no", F.monotonically_increasing_id())
 
 
 def _picked(coordinates: int, rows: int) -> np.ndarray:
     """(coordinates, rows): the minwise values that each coordinate is made of, all of a row different."""
-    if coordinates * rows <= BASES:
+    bases = BASES * rows
+    if coordinates * rows <= bases:
         return np.arange(coordinates * rows).reshape(coordinates, rows)
-    each = BASES // rows
-    shuffles = [np.argsort(_mix(np.arange(BASES, dtype=np.uint64) + np.uint64((k + 1) << 20)), kind="stable") for k in range(-(-coordinates // each))]
+    each = bases // rows
+    shuffles = [np.argsort(_mix(np.arange(bases, dtype=np.uint64) + np.uint64((k + 1) << 20)), kind="stable") for k in range(-(-coordinates // each))]
     return np.concatenate([x[: each * rows].reshape(each, rows) for x in shuffles])[:coordinates]
 
 
@@ -184,10 +212,10 @@ class Signer:
         return value.view(np.int64)
 
 
-def postings(texts: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
-    """Post every class of (cls, field, sides, text) under each of its coordinate values: (v, cls, shape).
+def postings(texts: DataFrame, coordinates: int, rows: int) -> DataFrame:
+    """Post every class of (no, field, sides, text) under each of its coordinate values: (v, cls, shape).
 
-    ``shape`` is four times the number of words plus the sides.
+    ``cls`` is its number and ``shape`` four times the number of words plus the sides.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +241,7 @@ def postings(texts: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS)
         for field, todo in waiting.items():
             yield flush(field, todo)
 
-    return texts.select("cls", "field", "sides", "text").mapInArrow(scan, _POSTING)
+    return texts.select("no", "field", "sides", "text").mapInArrow(scan, _POSTING)
 
 
 def _may_match(x: np.ndarray, y: np.ndarray, cross: bool, least: float) -> np.ndarray:
@@ -297,11 +325,11 @@ def _merge(sorted_postings: DataFrame, cross: bool, least: float) -> DataFrame:
 
 
 def _cell_pairs(cells: DataFrame, cross: bool, least: float) -> DataFrame:
-    """(a, b, n) of the sorted rows (v, i, j, diagonal, right, cls, shape, label, vs) of cells.
+    """(a, b) of the sorted rows (v, i, j, diagonal, right, cls, shape, label, vs) of cells.
 
-    In each cell every left class meets every right one. A pair comes out of the list of the first
-    long value it shares, with the number of those, unless both have the same label. Of a diagonal
-    cell, in which both sides are the same classes, each pair comes out once.
+    In each cell every left class meets every right one. A pair that shares ``MATCHES`` long values
+    comes out of the list of the first of them, unless both have the same label. Of a diagonal cell, in
+    which both sides are the same classes, each pair comes out once.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,14 +354,14 @@ def _cell_pairs(cells: DataFrame, cross: bool, least: float) -> DataFrame:
             step = max(1, 4_000_000 // (len(rc) * width))
             for k in range(0, len(lc), step):
                 same = (lv[k : k + step, None, :] == rv[None, :, :]) & (rv != 0)[None, :, :]
-                ok = (same.argmax(axis=2) == at) & (ll[k : k + step, None] != rl[None, :]) & (lc[k : k + step, None] != rc[None, :])
+                ok = (same.argmax(axis=2) == at) & (same.sum(axis=2) >= MATCHES) & (ll[k : k + step, None] != rl[None, :]) & (lc[k : k + step, None] != rc[None, :])
                 ok &= _may_match(ls[k : k + step, None], rs[None, :], cross, least)
                 if key[3]:
                     ok &= lc[k : k + step, None] < rc[None, :]
                 x, y = np.nonzero(ok)
                 if len(x):
                     a, b = lc[k + x], rc[y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same[x, y].sum(axis=1).astype(np.int32))], schema=_PAIRS_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS_ARROW)
 
         for batch in batches:
             for v, i, j, diagonal, *row in zip(*(batch.column(n).to_pylist() for n in range(9))):
@@ -349,11 +377,12 @@ def _cell_pairs(cells: DataFrame, cross: bool, least: float) -> DataFrame:
 
 
 def long_list_pairs(long: DataFrame, cross: bool, least: float, labels: DataFrame | None = None) -> DataFrame:
-    """(a, b, n): the pairs of classes of long lists (v, cls, shape) with the number of lists they share.
+    """(a, b), a < b: the pairs of classes that share ``MATCHES`` or more of the long lists (v, cls, shape).
 
     A list is cut into blocks by a hash of the class and any two blocks meet in a cell of their own,
     so that a list of any length is spread over many tasks; with ``cross`` the blocks of side 0 meet
-    those of side 1 only. ``labels`` (cls, label) leaves out pairs within one label and lists of one label.
+    those of side 1 only. ``labels`` (cls, label) leaves out pairs within one label and lists of one label;
+    a class without a label has one of its own.
     """
     # A class has at most one value per coordinate, so the collected list is bounded by their number.
     lists = long.groupBy("cls").agg(F.array_sort(F.collect_set("v")).alias("vs"))
@@ -361,7 +390,7 @@ def long_list_pairs(long: DataFrame, cross: bool, least: float, labels: DataFram
     if labels is None:
         rows = rows.withColumn("label", F.col("cls"))
     else:
-        rows = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rows = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", -1 - F.col("cls")))
         mixed = rows.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("v")
         rows = rows.join(mixed, "v", "left_semi")
     one, two = (F.col("shape").bitwiseAND(1) != 0, F.col("shape").bitwiseAND(2) != 0) if cross else (F.lit(True), F.lit(True))
@@ -377,28 +406,33 @@ def long_list_pairs(long: DataFrame, cross: bool, least: float, labels: DataFram
 
 
 def merge_lists(posted: DataFrame, cross: bool, least: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs, long): (a, b, n) of the lists merged at once, and the rows (v, cls, shape) of the long ones."""
+    """(pairs, long): candidate pairs (a, b) of the lists merged at once, and the rows (v, cls, shape) of
+    the long ones, which are empty as a rule.
+
+    Candidates agree in ``MATCHES`` = 2 short lists, or in one if both classes stand in long lists, where
+    they may agree a second time.
+    """
     n = SPREAD * int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = settle(_merge(posted.repartition(n, "v").sortWithinPartitions("v"), cross, least), "merged")
-    pairs = merged.where("kind = 0").select("a", "b", F.lit(1).alias("n"))
-    return pairs, merged.where("kind > 0").select(F.col("a").alias("v"), F.col("b").alias("cls"), F.col("kind").alias("shape")).distinct()
-
-
-def matched(pairs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) that agree in at least ``MATCHES`` coordinates."""
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MATCHES).select("a", "b")
+    pairs = merged.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("n"))
+    long = merged.where("kind > 0").select(F.col("a").alias("v"), F.col("b").alias("cls"), F.col("kind").alias("shape")).distinct()
+    if long.isEmpty():
+        return pairs.where(F.col("n") >= MATCHES).select("a", "b"), long
+    hot = settle(long.select("cls").distinct(), "hot")
+    mark = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda df: df)
+    marked = pairs.join(mark(hot.select(F.col("cls").alias("a"), F.lit(True).alias("hot_a"))), "a", "left").join(mark(hot.select(F.col("cls").alias("b"), F.lit(True).alias("hot_b"))), "b", "left")
+    return marked.where((F.col("n") >= MATCHES) | (F.col("hot_a") & F.col("hot_b"))).select("a", "b"), long
 
 
 def merge_postings(posted: DataFrame, cross: bool, least: float) -> DataFrame:
-    """Candidate pairs of classes (a, b), a < b, that agree in at least ``MATCHES`` = 2 coordinates.
+    """Candidate pairs of classes (a, b), a < b, with all that agree in at least ``MATCHES`` = 2 coordinates.
 
     The lists are merged value by value in sorted order. A list longer than ``LONG_LIST`` is skipped
-    in that merge and gone through in cells (``long_list_pairs``), where a pair is counted once for
-    all the long values it shares. The counts of both are added up, so no pair with two agreements is
-    lost. Pairs whose word counts rule out a likeness of ``least`` are left out, and with ``cross``
-    all but those of side 0 and side 1.
+    in that merge and gone through in cells (``long_list_pairs``). No pair with two agreements is lost.
+    Pairs whose word counts rule out a likeness of ``least`` are left out, and with ``cross`` all but
+    those of side 0 and side 1.
     """
     pairs, long = merge_lists(posted, cross, least)
     if not long.isEmpty():
-        pairs = pairs.unionByName(long_list_pairs(long, cross, least))
-    return matched(pairs)
+        pairs = pairs.unionByName(long_list_pairs(long, cross, least)).distinct()
+    return pairs
