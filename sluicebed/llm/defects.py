@@ -213,7 +213,10 @@ def other_language(tokens: list[str], text: str) -> bool:
 
     Single letters are no words here: they are the variables of a formula more often than not.
     """
-    if not text.isascii():
+    if text.isascii():
+        if sum(map(_ENGLISH_ONLY.__contains__, tokens)) * 5 > len(tokens):
+            return False
+    else:
         letters = [c for c in text if c.isalpha()]
         if 2 * sum(c < "ɐ" or unicodedata.name(c, "").startswith("LATIN") for c in letters) < len(letters):
             return True
@@ -232,6 +235,8 @@ _ELEMENTS = "b i u em strong p ul ol li div span code pre table tr td th h1 h2 h
 _DANGLING = set("the a an and or of to in on at by for from with than is are was were be if so but your our my their his her its that which who because then into as".split())
 
 _STRUCTURE = re.compile(rf"(?P<fence>```)|<(?P<end>/?)(?P<tag>{'|'.join(_ELEMENTS)})(?:\s[^<>]*)?>|(?P<math>\$\$|\\[\[\]()])|\\(?P<env>begin|end)\{{(?P<name>\w+\*?)\}}|(?P<mark>[()\[\]{{}}“”«»\"])|^[ \t]*(?P<item>[-*•+]|\d+[.)])[ \t]+(?=\S)|(?P<gap>\n[ \t]*\n)", re.M | re.I)
+#: What any structure needs; looked for first, as most texts have none of it.
+_MAY_OPEN = re.compile(r"[`<$\\()\[\]{}“”«»\"\n]|^[ \t]*(?:[-*•+]|\d+[.)])[ \t]")
 _CUT_TAG = re.compile(rf"<(?:/|/?(?:{'|'.join(_ELEMENTS)})(?:\s[^<>]*)?)$", re.I)
 _MATH_ENDS = {"\\)": "\\(", "\\]": "\\["}
 
@@ -247,8 +252,9 @@ class Structure:
     def __init__(self, text: str):
         self.stack: list[tuple[str, str]] = []
         self.items: list[int] = []
-        for m in _STRUCTURE.finditer(text):
-            self._read(m)
+        if _MAY_OPEN.search(text):
+            for m in _STRUCTURE.finditer(text):
+                self._read(m)
 
     def _close(self, frame: tuple[str, str]) -> bool:
         if frame not in self.stack:
