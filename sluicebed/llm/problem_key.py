@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # English number words, spelled-out units and the labels that introduce a problem.
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -20,6 +21,7 @@ _PERCENT = re.compile(r"per\s*-?\s*cent|%|per\s+cents?\b")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)?|[+*/=^×÷]|(?<=[\d)])\s*[-−–]|[-−–](?=\s*[\d(])|(?<=\s)[-−–](?=\s)")
 
 
+@lru_cache(maxsize=200_000)
 def _plain(word: str) -> str:
     """First letter and the others sorted: swapped letters inside a word make no difference."""
     return word if len(word) < 4 else word[0] + "".join(sorted(word[1:]))
