@@ -9,6 +9,7 @@ says how well each annotator agrees with the common opinion, and its entries wei
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +51,15 @@ def agreement_matrix(votes: DataFrame, prior: float = OVERLAP_PRIOR) -> DataFram
     return one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "c", "n"))
 
 
-def spectral_reliability(votes: DataFrame, prior: float = OVERLAP_PRIOR) -> DataFrame:
+def spectral_reliability(votes: DataFrame, prior: float = OVERLAP_PRIOR, strict: bool = True) -> DataFrame:
     """(annotator, n_votes, reliability): the leading eigenvector, scaled so that the agreement of two
     annotators is about the product of their reliabilities; null for those who share no item.
 
     By its row sums no eigenvalue is below some -g. The matrix is shifted by g / 2, so that the iteration
     leads to the largest one, never to a large negative one, which is disagreement. The majority of
     the weight counts as right, the rest gets negative reliabilities. All are 0 if no common opinion
-    exists or if the annotators split into two equal camps, of which either may be right. Raises if the
-    iteration has not settled after ``_STEPS`` * ``_ROUNDS`` steps.
+    exists or if the annotators split into two equal camps, of which either may be right. If the
+    iteration has not settled after ``_STEPS`` * ``_ROUNDS`` steps, it is an error, or unless ``strict`` a warning.
     """
     pairs = settle(agreement_matrix(votes, prior), "agreement")
     # The diagonal is not observed; as in factor analysis the largest entry of the row stands for it.
@@ -84,7 +85,10 @@ def spectral_reliability(votes: DataFrame, prior: float = OVERLAP_PRIOR) -> Data
         if settled:
             break
     if not settled:
-        raise RuntimeError(f"the reliabilities have not settled after {_STEPS * _ROUNDS} steps")
+        told = f"the reliabilities have not settled after {_STEPS * _ROUNDS} steps"
+        if strict:
+            raise RuntimeError(told)
+        warnings.warn(told)
     both = x.agg(F.sum("x").alias("total"), F.sum(F.abs("x")).alias("size")).first()
     one_sided = both.size is not None and abs(both.total) > 1e-3 * both.size
     factor = math.copysign(math.sqrt(max(value, 0.0)), both.total) if one_sided and value > 1e-9 * top else 0.0
@@ -99,17 +103,18 @@ def vote_weight(reliability, n_labels: int):
     return F.when(reliability.isNull(), F.lit(1.0)).otherwise(F.log(F.lit(float(n_labels - 1)) * p / (1 - p)))
 
 
-def consensus(df: DataFrame, id_column: str, votes_column: str, labels: list[str] = VERDICTS, prior: float = OVERLAP_PRIOR) -> tuple[DataFrame, DataFrame]:
+def consensus(df: DataFrame, id_column: str, votes_column: str, labels: list[str] = VERDICTS, prior: float = OVERLAP_PRIOR, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(items, annotators).
 
     items (id, label, share, n_votes, agreement, plurality, plurality_votes): ``label`` has the largest
     sum of weights (ties: more votes, then the order of ``labels``), ``share`` is its part of the
     weights, ``agreement`` the share of equal pairs among the votes (null for a single vote),
     ``plurality`` the label with more votes than any other (null on a tie). Items without a usable vote
-    are left out. annotators (annotator, n_votes, reliability, weight, n_with_consensus).
+    are left out. annotators (annotator, n_votes, reliability, weight, n_with_consensus). ``strict`` is
+    that of ``spectral_reliability``.
     """
     votes = settle(usable_votes(df, id_column, votes_column, labels), "votes")
-    rated = settle(spectral_reliability(votes, prior).withColumn("weight", vote_weight(F.col("reliability"), len(labels))), "annotators")
+    rated = settle(spectral_reliability(votes, prior, strict).withColumn("weight", vote_weight(F.col("reliability"), len(labels))), "annotators")
     order = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
     per_label = votes.join(rated.select("annotator", "weight"), "annotator").groupBy("id", "label").agg(F.round(F.sum("weight"), 9).alias("w"), F.count("*").alias("n"))
     best = F.max(F.struct("w", "n", (-order).alias("o"), "label"))
