@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
-from .words import WordHashes, words
+from .words import WordHashes, word_bytes
 
 SPAN = 12
 K, WINDOW = 8, 5
-#: Fingerprints of the evaluation side that are sent whole to every executor; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Fingerprints of the evaluation side, and bytes of its texts, that are sent whole to every executor; beyond
+#: either, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 100_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprints(tokens: list[str], hashes: WordHashes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(tokens: list[bytes], hashes: WordHashes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the winnowed runs of ``k`` words; none if there are fewer than ``k`` words."""
     n = len(tokens) - k + 1
     if n < 1:
@@ -54,7 +55,7 @@ def _fingerprint_rows(texts: DataFrame, key: str) -> DataFrame:
             rows, at, value = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             sizes = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                p, h = fingerprints(words(text), hashes)
+                p, h = fingerprints(word_bytes(text), hashes)
                 if len(p):
                     rows.append(i)
                     sizes.append(len(p))
@@ -66,7 +67,7 @@ def _fingerprint_rows(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, "text").mapInArrow(scan, f"{key} {kind}, pos int, hash bigint")
 
 
-def longest_span(doc: list[str], item: list[str], shift: int) -> tuple[int, int]:
+def longest_span(doc: list[bytes], item: list[bytes], shift: int) -> tuple[int, int]:
     """(length, start in ``doc``) of the longest run of equal words where doc position = item position + shift."""
     best = start = run = 0
     for i in range(max(0, shift), min(len(doc), len(item) + shift)):
@@ -76,28 +77,49 @@ def longest_span(doc: list[str], item: list[str], shift: int) -> tuple[int, int]
     return best, start
 
 
-def leaked_spans(corpus: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, fields: list[str], span: int = SPAN) -> DataFrame:
-    """(doc_id, item_id, field, n_words, start_word): the longest shared span of at least ``span`` words.
+def _span_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, field string, n_words int, start_word int"
 
-    One row per corpus document, evaluation item and field that share such a span. Null ids, null and
-    shorter texts share nothing; repeated rows count once. ``span`` must be at least ``K + WINDOW - 1``,
-    below which winnowing guarantees nothing.
-    """
-    if span < K + WINDOW - 1:
-        raise ValueError(f"spans under {K + WINDOW - 1} words are not guaranteed to be found")
-    docs = corpus.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    named = items.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), *(F.col(f"`{c}`").cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
-    stacked = named.select("item_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"f{i}").alias("text")) for i, c in enumerate(fields)))).alias("x")).select("item_id", "x.*").where("item_id is not null and text is not null").distinct()
-    keyed = stacked.withColumn("part", F.xxhash64("item_id", "field", "text"))
-    test = settle(_fingerprint_rows(keyed, "part").withColumnRenamed("pos", "item_pos"), "fingerprints")
-    small = test.count() <= BROADCAST_ROWS
-    found = _fingerprint_rows(docs, "doc_id").join(F.broadcast(test) if small else test, "hash")
-    # Hits of one shared passage lie on one diagonal; a document's diagonals with one item text are few.
+
+def _spans_in_one_pass(docs: DataFrame, test: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """Spans of every hit, found and extended while the documents are read, so that none of them is shuffled."""
+    marks, named = test.select("hash", "part", "item_pos").toArrow(), texts.toArrow().to_pylist()
+    number = {r["part"]: i for i, r in enumerate(named)}
+    order = np.argsort(marks["hash"].to_numpy(), kind="stable")
+    items = [(r["item_id"], r["field"], word_bytes(r["item_text"])) for r in named]
+    sent = docs.sparkSession.sparkContext.broadcast((marks["hash"].to_numpy()[order], np.array([number[p] for p in marks["part"].to_pylist()], np.int32)[order], marks["item_pos"].to_numpy()[order], items))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, parts, places, held = sent.value
+        hashes = WordHashes()
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                doc = word_bytes(text)
+                at, h = fingerprints(doc, hashes)
+                h = h.view(np.int64)
+                first, last = np.searchsorted(values, h), np.searchsorted(values, h, side="right")
+                # Hits of one shared passage lie on one diagonal; a document's diagonals with one item text are few.
+                hits = {(int(parts[k]), int(at[j] - places[k])) for j in np.flatnonzero(last > first) for k in range(first[j], last[j])}
+                for part, shift in sorted(hits):
+                    item_id, field, item = held[part]
+                    n, start = longest_span(doc, item, shift)
+                    if n >= span:
+                        for column, value in zip(rows, (i, item_id, field, n, start)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())],
+                names=["doc_id", "item_id", "field", "n_words", "start_word"],
+            )
+
+    return docs.mapInArrow(scan, _span_schema(docs))
+
+
+def _spans_by_join(docs: DataFrame, test: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """The same for any number of evaluation fingerprints: hits by an equi join, their texts fetched after it."""
+    found = _fingerprint_rows(docs, "doc_id").join(test, "hash")
     hits = settle(found.select("doc_id", "part", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
-    # Only texts that have fingerprints, one for every few words, so their size is bounded with the number of those.
-    texts = keyed.join(test.select("part").distinct(), "part", "left_semi").select("part", "item_id", "field", F.col("text").alias("item_text"))
-    rows = hits.join(F.broadcast(texts) if small else texts, "part").join(docs, "doc_id").select("doc_id", "item_id", "field", "shift", "text", "item_text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = hits.join(texts, "part").join(docs, "doc_id").select("doc_id", "item_id", "field", "shift", "text", "item_text")
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +127,8 @@ def leaked_spans(corpus: DataFrame, id_column: str, text_column: str, items: Dat
             last, doc = None, []
             for i, (shift, text, item) in enumerate(zip(*(batch.column(j).to_pylist() for j in (3, 4, 5)))):
                 if text != last:
-                    last, doc = text, words(text)
-                n, at = longest_span(doc, words(item), shift)
+                    last, doc = text, word_bytes(text)
+                n, at = longest_span(doc, word_bytes(item), shift)
                 if n >= span:
                     keep.append(i)
                     length.append(n)
@@ -114,7 +136,26 @@ def leaked_spans(corpus: DataFrame, id_column: str, text_column: str, items: Dat
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(j).take(take) for j in range(3)), pa.array(length, pa.int32()), pa.array(start, pa.int32())], names=["doc_id", "item_id", "field", "n_words", "start_word"])
 
-    spans = rows.mapInArrow(extend, f"doc_id {kind}, item_id string, field string, n_words int, start_word int")
+    return rows.mapInArrow(extend, _span_schema(docs))
+
+
+def leaked_spans(corpus: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, fields: list[str], span: int = SPAN) -> DataFrame:
+    """(doc_id, item_id, field, n_words, start_word): the longest shared span of at least ``span`` words.
+
+    One row per corpus document, evaluation item and field that share such a span. Null ids, null and
+    shorter texts share nothing; repeated rows count once. ``span`` must be at least ``K + WINDOW - 1``,
+    below which winnowing guarantees nothing.
+    """
+    if span < K + WINDOW - 1:
+        raise ValueError(f"spans under {K + WINDOW - 1} words are not guaranteed to be found")
+    docs = corpus.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    named = items.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), *(F.col(f"`{c}`").cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
+    stacked = named.select("item_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"f{i}").alias("text")) for i, c in enumerate(fields)))).alias("x")).select("item_id", "x.*").where("item_id is not null and text is not null").distinct()
+    keyed = stacked.withColumn("part", F.xxhash64("item_id", "field", "text"))
+    test = settle(_fingerprint_rows(keyed, "part").withColumnRenamed("pos", "item_pos"), "fingerprints")
+    texts = keyed.join(test.select("part").distinct(), "part", "left_semi").select("part", "item_id", "field", F.col("text").alias("item_text"))
+    small = test.count() <= BROADCAST_ROWS and (texts.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) <= BROADCAST_BYTES
+    spans = (_spans_in_one_pass if small else _spans_by_join)(docs, test, texts, span)
     best = spans.groupBy("doc_id", "item_id", "field").agg(F.max(F.struct("n_words", (-F.col("start_word")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", "field", F.col("m.n_words").alias("n_words"), (-F.col("m.s")).alias("start_word"))
 

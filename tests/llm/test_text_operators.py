@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicebed.llm import defects as D
+from sluicebed.llm import leakage
 from sluicebed.llm.leakage import K, WINDOW, fingerprints, leaked_items, leaked_spans
 from sluicebed.llm.packing import best_fit_decreasing, pack, packing_report, token_sizes
 from sluicebed.llm.pieces import boundary_strength, cut_points, split_oversized
@@ -158,7 +159,9 @@ def test_winnowing_guarantee():
         assert set(fingerprints(a, hashes)[1].tolist()) & set(fingerprints(b, hashes)[1].tolist())
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_leaks_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", most)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(30)]
     items = [(f"p{i}", " ".join(rng.choices(vocab, k=rng.randint(5, 30))), None if i % 5 == 0 else " ".join(rng.choices(vocab, k=15)), "") for i in range(20)]
