@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TOKEN
+from .tokens import TOKEN, count_tokens
 
 #: A cut may move by this share of the limit to reach a boundary.
 REACH = 1 / 8
@@ -96,11 +96,9 @@ def split_oversized(df: DataFrame, id_column: str, text_column: str, limit: int,
         for batch in batches:
             ids, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text or len(text) <= limit:
+                if not text or len(text) <= limit or count_tokens(text) <= limit:
                     continue
                 spans = [m.span() for m in TOKEN.finditer(text)]
-                if len(spans) <= limit:
-                    continue
                 cuts = cut_points(text, spans, limit, overlap)
                 for k, (s, e) in enumerate(cuts):
                     a, b = spans[s][0] if k else 0, spans[e][0] if e < len(spans) else len(text)

@@ -4,6 +4,8 @@ import random
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluicebed.llm import defects as D
@@ -11,7 +13,7 @@ from sluicebed.llm import leakage
 from sluicebed.llm.leakage import K, WINDOW, fingerprints, leaked_items, leaked_spans
 from sluicebed.llm.packing import best_fit_decreasing, pack, packing_report, token_sizes
 from sluicebed.llm.pieces import boundary_strength, cut_points, split_oversized
-from sluicebed.llm.tokens import TOKEN
+from sluicebed.llm.tokens import TOKEN, count_tokens
 from sluicebed.llm.words import WordHashes, words
 
 OWN = ["Problem: Nela has 12 red boxes and buys 30 more. How many boxes are there now?", None, "Student: I wrote 12 and 30 next to each other, is that wrong?"]
@@ -101,6 +103,11 @@ def test_defects_table(spark):
     assert D.find_defects(df.limit(0), *args).count() == 0
 
 
+@given(st.text() | st.text(st.characters(max_codepoint=255)))
+def test_count_tokens(text):
+    assert count_tokens(text) == len(TOKEN.findall(text))
+
+
 def brute_best_fit(sizes, capacity):
     rooms = []
     for s in sizes:
