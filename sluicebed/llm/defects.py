@@ -366,9 +366,8 @@ def defect_of(text: str | None, own_texts: list[str | None]) -> str | None:
     """The defect of a text, given the texts of its record that it must not merely repeat."""
     if is_empty(text):
         return "empty"
-    tokens, n = _bare(text), len(text)
-    # a copy has about the words of its source, so lengths that differ six times over rule it out
-    if any(own and n < 6 * len(own) + 60 and len(own) < 6 * n + 60 and copied_share(tokens, _bare(own)) >= COPY_SHARE for own in own_texts):
+    tokens = _bare(text)
+    if any(own and copied_share(tokens, _bare(own)) >= COPY_SHARE for own in own_texts):
         return "copy"
     if declines(text):
         return "refusal"

@@ -45,6 +45,7 @@ def test_defect_kinds(text, kind):
         ("I will not assess this message.", "refusal"), ("It is not my place to review this.", "refusal"), ("We are not able to discuss the matter here.", "refusal"), ("Since I can't comply, I stop here.", "refusal"),
         ("Do it like this:\n1. Add the numbers.\n2. Subtract the sm", "truncated"), ("Steps:\n1. Add 3\n2. Take 4 and the", "truncated"), ("Steps:\n1. Add 3\n2. Take 4 boxes", None), ("Do this:\n- Add the 3.\n- Take 4.", None), ("- one;\n- two;\n- thr", "truncated"),
         ("This is <b>bold and <i>both.", "truncated"), ("This is <b>bold</b> and <i>slanted</i>.", None), ("<p>Look at it again.</p>", None), ("Look at it again.</p", "truncated"), ("<ul><li>Add 3.</li><li>Take 4.</ul>", None), ("So a < b and c > d here.", None),
+        ("\n\n".join("nela has 12 red boxes and buys 30 more how many boxes are there now".split(" ")).replace("\n", " " * 60), "copy"),
         ("See \\(x + 2 for it.", "truncated"), ("See \\(x + 2\\) for it.", None), ("Let $$x = 2$$ be given.", None), ("\\begin{align} x = 2.", "truncated"), ("Use ```x = (1``` for it.", None), ("«Look at (the 3) and [the 4].»", None),
     ],
 )
